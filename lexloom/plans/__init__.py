@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("pages",)
+MODULES = ("pages", "stores", "crawl")
 
 
 def _merged(name: str) -> dict:
