@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("pages", "stores", "crawl")
+MODULES = ("pages", "stores", "crawl", "vectors", "answering")
 
 
 def _merged(name: str) -> dict:
