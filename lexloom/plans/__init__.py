@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("pages", "stores", "crawl", "vectors", "answering")
+MODULES = ("pages", "stores", "crawl", "vectors", "answering", "streams")
 
 
 def _merged(name: str) -> dict:
