@@ -84,6 +84,10 @@ def chunk_lookup(spark, sf):
     return lookup(wanted, store, "id").select("item_id", "id", "body", "missing")
 
 
+def all_document_chunks(spark, sf):
+    return document_chunks(table(spark, sf, "documents"))
+
+
 def object_events(spark, sf):
     """Every event as an object-created message; some cut short, so that they cannot be read."""
     events = table(spark, sf, "events")
@@ -242,6 +246,7 @@ QUERIES = {
     "raw_object_key": raw_key,
     "prefix_guard": prefix_guard,
     "chunk_upsert": chunk_upsert,
+    "document_chunks": all_document_chunks,
     "chunk_lookup": chunk_lookup,
     "object_event_route": object_event_route,
     "webhook_parse": webhook_parse,
@@ -267,6 +272,7 @@ ORACLES = {
     "chunk_upsert": """SELECT l_orderkey || '.' || l_linenumber AS id, l_partkey, l_suppkey, l_extendedprice FROM (
       SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
         ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS rn FROM lineitem) WHERE rn = 1""",
+    "document_chunks": DOCUMENT_CHUNKS + "SELECT doc_id, id, body FROM doc_chunks",
     "chunk_lookup": DOCUMENT_CHUNKS
     + """SELECT item_id, 'en.' || item_id || '.1' AS id, body, body IS NULL AS missing
       FROM benchmark LEFT JOIN doc_chunks ON doc_chunks.id = 'en.' || item_id || '.1'""",
