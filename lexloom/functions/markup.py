@@ -10,20 +10,26 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
+from functools import lru_cache
 
+RAW_TEXT = frozenset("script style noscript iframe noembed noframes xmp".split())
+DECODED_TEXT = frozenset("title textarea".split())
+
+# Groups: end mark, tag, attributes; then tag, attributes and body of an element that holds only text.
 TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
+    rf"|<((?i:{'|'.join(sorted(RAW_TEXT | DECODED_TEXT))}))(?=[\s/>])"
+    r"((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>(.*?)(?:</(?i:\1)(?=[\s/>])[^>]*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>"
     r"|<[!?/][^>]*>",
     re.S,
 )
+GROUPS = 7
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 PLAIN_ATTRIBUTE = re.compile(r"\s*([a-zA-Z][\w-]*)=\"([^\"&]*)\"\s*")
 ATTRIBUTE_REF = re.compile(r"&(?:#(?:[xX][0-9a-fA-F]+|[0-9]+);?|[a-zA-Z][a-zA-Z0-9]*+(?:;|(?!=)))")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TEXT = frozenset("script style noscript iframe noembed noframes xmp".split())
-DECODED_TEXT = frozenset("title textarea".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BLOCKS = HEADINGS | frozenset(
     "address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form "
@@ -34,72 +40,68 @@ SECTIONS = frozenset("tbody thead tfoot".split())
 SCOPE = frozenset("table td th caption object marquee applet template".split())
 SPECIAL = BLOCKS | SCOPE | TABLE_PARTS | frozenset(["button"])
 SKIPPED = frozenset("html head body".split())
-NO_ATTRIBUTES: dict[str, str] = {}
+PLAIN = frozenset("abbr b bdi bdo cite code data dfn em i kbd label mark q s samp small span strong sub sup u var".split())
+TAG, ATTRIBUTES, PARENT, LAST, FIRST_TEXT, LAST_TEXT = range(6)
 ITEM_BARRIER = SPECIAL - {"address", "div", "p"}
 TABLE_LEVELS = SECTIONS | {"table", "tr"}
 P_BARRIER = SCOPE | {"button"}
 
 
 class Page:
-    """Elements in document order; element i covers nodes i..last[i] and texts first_text[i]..last_text[i]."""
+    """Elements in document order; an element covers the nodes and the texts between its first and last ones."""
 
-    __slots__ = ("tags", "attributes", "parents", "last", "first_text", "last_text", "texts", "by_tag", "open", "open_tags", "quirks")
+    __slots__ = ("nodes", "texts", "by_tag", "open", "open_tags", "quirks")
 
     def __init__(self, source: str):
-        self.tags: list[str] = []
-        self.attributes: list[dict[str, str]] = []
-        self.parents: list[int] = []
-        self.last: list[int] = []
-        self.first_text: list[int] = []
-        self.last_text: list[int] = []
+        self.nodes: list[list] = []
         self.texts: list[str] = []
         self.by_tag: dict[str, list[int]] = {}
         self.open: list[int] = []
         self.open_tags: list[str] = []
-        source = source.replace("\r\n", "\n").replace("\r", "\n")
+        if "\r" in source:
+            source = source.replace("\r\n", "\n").replace("\r", "\n")
         self.quirks = not source.lstrip()[:9].lower().startswith("<!doctype")
         self._read(source)
 
     # Reading
 
     def _read(self, source: str) -> None:
-        texts, at, end, search = self.texts, 0, len(source), TOKEN.search
-        while at < end:
-            token = search(source, at)
-            begin = token.start() if token else end
-            if begin > at:
-                text = source[at:begin]
-                texts.append(html.unescape(text) if "&" in text else text)
-            if token is None:
-                break
-            at = token.end()
-            closing, tag, raw = token.groups()
+        texts, nodes, open_tags, unescape = self.texts, self.nodes, self.open_tags, html.unescape
+        pieces = TOKEN.split(source)
+        columns = (pieces[at::GROUPS] for at in range(1, GROUPS))
+        for text, only_tag, only_raw, body, closing, tag, raw in zip(pieces[0::GROUPS], *columns):
+            if text:
+                texts.append(unescape(text) if "&" in text else text)
             if tag is None:
+                if only_tag is not None:
+                    self._text_element(only_tag.lower(), only_raw, body)
                 continue
             tag = tag.lower()
-            if tag in SKIPPED:
-                continue
             if closing:
-                self._end(tag)
-                continue
-            self._start(tag, raw)
-            if tag in RAW_TEXT or tag in DECODED_TEXT:
-                close = re.compile(f"</{tag}(?=[\\s/>])[^>]*>|\\Z", re.I).search(source, at)
-                body = source[at : close.start()]
-                if body:
-                    texts.append(html.unescape(body) if tag in DECODED_TEXT and "&" in body else body)
-                self._close_from(len(self.open) - 1)
-                at = close.end()
+                if open_tags and open_tags[-1] == tag:
+                    open_tags.pop()
+                    node = nodes[self.open.pop()]
+                    node[LAST], node[LAST_TEXT] = len(nodes) - 1, len(texts)
+                elif tag not in SKIPPED:
+                    self._end(tag)
+            elif tag in PLAIN:
+                self._push(tag, raw)
+            elif tag not in SKIPPED:
+                self._start(tag, raw)
+        if pieces[-1]:
+            texts.append(unescape(pieces[-1]) if "&" in pieces[-1] else pieces[-1])
         self._close_from(0)
 
+    def _text_element(self, tag: str, raw: str, body: str) -> None:
+        self._start(tag, raw)
+        if body:
+            self.texts.append(html.unescape(body) if tag in DECODED_TEXT and "&" in body else body)
+        self._close_from(len(self.open) - 1)
+
     def _push(self, tag: str, raw: str = "") -> None:
-        node, at = len(self.tags), len(self.texts)
-        self.tags.append(tag)
-        self.attributes.append(read_attributes(raw) if "=" in raw else NO_ATTRIBUTES)
-        self.parents.append(self.open[-1] if self.open else -1)
-        self.last.append(node)
-        self.first_text.append(at)
-        self.last_text.append(at)
+        node, at = len(self.nodes), len(self.texts)
+        parent = self.open[-1] if self.open else -1
+        self.nodes.append([tag, read_attributes(raw), parent, node, at, at])
         if tag in self.by_tag:
             self.by_tag[tag].append(node)
         else:
@@ -111,10 +113,10 @@ class Page:
     def _close_from(self, level: int) -> None:
         if level < 0:
             return
-        last, last_text = len(self.tags) - 1, len(self.texts)
-        for node in self.open[level:]:
-            self.last[node] = last
-            self.last_text[node] = last_text
+        last, last_text = len(self.nodes) - 1, len(self.texts)
+        for at in self.open[level:]:
+            node = self.nodes[at]
+            node[LAST], node[LAST_TEXT] = last, last_text
         del self.open[level:], self.open_tags[level:]
 
     def _level(self, wanted, barrier) -> int:
@@ -174,12 +176,6 @@ class Page:
         return True
 
     def _end(self, tag: str) -> None:
-        if self.open_tags and self.open_tags[-1] == tag:
-            node = self.open.pop()
-            self.open_tags.pop()
-            self.last[node] = len(self.tags) - 1
-            self.last_text[node] = len(self.texts)
-            return
         if tag in VOID:
             return
         if tag == "p":
@@ -201,27 +197,34 @@ class Page:
 
     def find(self, tag: str, within: int = -1) -> list[int]:
         """Elements with this tag below an element, or in the whole page."""
-        nodes = self.by_tag.get(tag, [])
+        found = self.by_tag.get(tag, [])
         if within < 0:
-            return nodes
-        return nodes[bisect_left(nodes, within + 1) : bisect_left(nodes, self.last[within] + 1)]
+            return found
+        return found[bisect_left(found, within + 1) : bisect_left(found, self.nodes[within][LAST] + 1)]
 
     def first(self, tag: str, within: int = -1) -> int:
         return next(iter(self.find(tag, within)), -1)
 
+    def parent(self, node: int) -> int:
+        return self.nodes[node][PARENT]
+
+    def attribute(self, node: int, name: str) -> str:
+        return self.nodes[node][ATTRIBUTES].get(name, "")
+
     def children(self, node: int, tag: str) -> list[int]:
-        return [n for n in self.find(tag, node) if self.parents[n] == node]
+        return [at for at in self.find(tag, node) if self.nodes[at][PARENT] == node]
 
     def having(self, tag: str, name: str, value: str, within: int = -1) -> list[int]:
-        return [n for n in self.find(tag, within) if self.attributes[n].get(name) == value]
+        return [at for at in self.find(tag, within) if self.nodes[at][ATTRIBUTES].get(name) == value]
 
     def text(self, node: int) -> str | None:
         """Text of the element and everything in it; None for no element."""
         if node < 0:
             return None
-        return "".join(self.texts[self.first_text[node] : self.last_text[node]])
+        return "".join(self.texts[self.nodes[node][FIRST_TEXT] : self.nodes[node][LAST_TEXT]])
 
 
+@lru_cache(maxsize=4096)
 def read_attributes(raw: str) -> dict[str, str]:
     plain = PLAIN_ATTRIBUTE.fullmatch(raw)
     if plain:

@@ -76,7 +76,7 @@ def statute_markers(page: Page) -> dict:
 
 
 def outline_markers(page: Page) -> dict:
-    links = (page.attributes[node].get("href") for node in page.find("a"))
+    links = (page.attribute(node, "href") for node in page.find("a"))
     return {
         "h1": page.text(page.first("h1")),
         "links": [link for link in links if link],
@@ -85,12 +85,14 @@ def outline_markers(page: Page) -> dict:
 
 
 def _toc_heading(page: Page) -> int:
-    with_table = {page.parents[node] for node in page.find("table")}
-    for node in page.find("h2"):
-        parent = page.parents[node]
-        if parent in with_table:
+    with_table = {page.parent(node) for node in page.find("table")}
+    tried = set()
+    for node in page.find("h2") if with_table else ():
+        parent = page.parent(node)
+        if parent in with_table and parent not in tried:
+            tried.add(parent)
             for other in page.find("h2"):
-                if page.parents[other] == parent and page.attributes[other].get("class") != "subd_no":
+                if page.parent(other) == parent and page.attribute(other, "class") != "subd_no":
                     return other
     return -1
 
@@ -109,10 +111,10 @@ def _toc_rows(page: Page) -> list[dict]:
                 rows.append(
                     {
                         "table_kind": kind,
-                        "class": page.attributes[row].get("class", ""),
+                        "class": page.attribute(row, "class"),
                         "n_td": len(cells),
                         "title": page.text(cells[1]) if len(cells) > 1 else None,
-                        "href": page.attributes[anchors[0]].get("href", "") if anchors else "",
+                        "href": page.attribute(anchors[0], "href") if anchors else "",
                     }
                 )
     return rows
@@ -120,7 +122,7 @@ def _toc_rows(page: Page) -> list[dict]:
 
 def _subdivision_marks(page: Page, div: int) -> dict:
     header = next(iter(page.having("h2", "class", "subd_no", div)), -1)
-    notes = [n for n in page.having("span", "class", "headnote", header) if page.parents[n] == header] if header >= 0 else []
+    notes = [n for n in page.having("span", "class", "headnote", header) if page.parent(n) == header] if header >= 0 else []
     table = page.first("table", div)
     body = page.first("tbody", table) if table >= 0 else -1
     cells = None

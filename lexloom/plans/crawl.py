@@ -11,11 +11,11 @@ from lexloom.operators.metrics import backlog_per_worker, step_signal
 from lexloom.operators.ranking import crawl_schedule
 from lexloom.plans.pages import PAGE_LINKS
 from lexloom.plans.stores import DOCUMENT_CHUNKS
-from lexloom.sources.tables import table
+from lexloom.sources.tables import table, wide_table
 
 
 def _links(spark, sf):
-    return page_links(table(spark, sf, "pages")).select(F.col("href").alias("url"))
+    return page_links(wide_table(spark, sf, "pages", "url")).select(F.col("href").alias("url"))
 
 
 def _page_urls(spark, sf):

@@ -9,7 +9,7 @@ from lexloom.operators import extract as ex
 from lexloom.operators.chunk import statute_chunks
 from lexloom.params import KIND_STATUTE
 from lexloom.sources.rendered import rendered_pages
-from lexloom.sources.tables import table
+from lexloom.sources.tables import wide_table
 
 # The rows the rendered pages were made from, as SQL over the tables.
 RENDERED = """
@@ -153,7 +153,7 @@ def toc_valid_rows(spark, sf):
 
 
 def href_resolve(spark, sf):
-    links = ex.page_links(table(spark, sf, "pages")).select(
+    links = ex.page_links(wide_table(spark, sf, "pages", "url")).select(
         "url", "pos", "href", resolve_href(F.col("href")).alias("link")
     )
     return _rows(spark, sf).filter("valid").select("url", "pos", "href", "link").unionByName(links)
@@ -210,7 +210,7 @@ def table_to_csv(spark, sf):
 
 
 def page_text(spark, sf):
-    return ex.page_outline(table(spark, sf, "pages")).select("url", F.col("h1").alias("heading_text"))
+    return ex.page_outline(wide_table(spark, sf, "pages", "url")).select("url", F.col("h1").alias("heading_text"))
 
 
 def scrape_route(spark, sf):
@@ -228,11 +228,11 @@ def scrape_quarantine(spark, sf):
 
 
 def page_links(spark, sf):
-    return ex.page_links(table(spark, sf, "pages"))
+    return ex.page_links(wide_table(spark, sf, "pages", "url"))
 
 
 def page_paragraph_count(spark, sf):
-    return ex.page_outline(table(spark, sf, "pages")).select("url", F.size("paragraphs").alias("n_paragraphs"))
+    return ex.page_outline(wide_table(spark, sf, "pages", "url")).select("url", F.size("paragraphs").alias("n_paragraphs"))
 
 
 def chunk_id(spark, sf):
