@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.operators.store import small
 from lexloom.params import MAX_RECEIVES, SEED_URL
 from lexloom.session import cut_lineage
 
@@ -31,14 +32,14 @@ def crawl_closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(url, depth) of everything reachable from the seeds over (src, dst) edges, breadth first.
 
     Each round joins only the newest level, drops what is already visited and is written out, so a lost executor
-    costs a round's rereading and the plan stays short.
+    costs a round's rereading and the plan stays short. A small level goes to the edges, which then stay in place.
     """
     edges = cut_lineage(edges.select("src", "dst").distinct())
     level = cut_lineage(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
     visited, depth = level, 0
     while not level.isEmpty():
         depth += 1
-        reached = level.join(edges, F.col("url") == F.col("src")).select(F.col("dst").alias("url")).distinct()
+        reached = edges.join(small(level.select(F.col("url").alias("src"))), "src").select(F.col("dst").alias("url")).distinct()
         level = cut_lineage(reached.join(visited, "url", "left_anti").withColumn("depth", F.lit(depth)))
         visited = visited.unionByName(level)
         if depth % COMPACT_EVERY == 0:

@@ -10,7 +10,7 @@ from lexloom.session import cut_lineage
 
 
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Adds `rn` (1, 2, ...) in the given order and `part`, the range the row fell into.
+    """Adds `rn` (1, 2, ...) in the given order, which no two rows share, and `part`, the range the row fell into.
 
     Ranges are cut once and written out, since they are read twice: for their sizes and for their rows. Only the sizes,
     one row per range, are added up in one place.

@@ -21,6 +21,7 @@ from lexloom.session import ship_package, written
 
 BLOCK_BYTES = 16 * 1024 * 1024
 ROWS_PER_STEP = 1024
+MERGE_SHARES = 16
 HITS = pa.schema([("query_id", pa.string()), ("id", pa.string()), ("score", pa.float64())])
 
 Scorer = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -132,8 +133,16 @@ def scan(rows: DataFrame, block: QueryBlock, k: int, matrix_of: Callable[[pa.Rec
 
 
 def ranked(hits: DataFrame, k: int) -> DataFrame:
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    """The k best hits of each query, first within shares of the hits and then among what is left of those.
+
+    The hits of a query grow with the number of scanning tasks, so they are not all brought to one task.
+    """
+    best = [F.desc("score"), F.col("id")]
+    share = F.pmod(F.xxhash64("id"), F.lit(MERGE_SHARES))
+    within = Window.partitionBy("query_id", "share").orderBy(*best)
+    kept = hits.withColumn("share", share).withColumn("rank", F.row_number().over(within)).filter(F.col("rank") <= k)
+    overall = Window.partitionBy("query_id").orderBy(*best)
+    return kept.drop("share").withColumn("rank", F.row_number().over(overall)).filter(F.col("rank") <= k)
 
 
 def query_blocks(queries: DataFrame, dim: int, block_bytes: int) -> Iterator[pa.Table]:

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.params import MESSAGE_MAX_BYTES
+from lexloom.session import cut_lineage
+
+# Rows of keys and numbers that every executor can hold.
+BROADCAST_ROWS = 500_000
 
 
 def latest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -25,10 +29,32 @@ def upsert(current: DataFrame, changes: DataFrame, keys: list[str], order: list[
     return latest_per_key(current.unionByName(changes), keys, order)
 
 
-def lookup(wanted: DataFrame, store: DataFrame, key: str) -> DataFrame:
-    """Wanted keys with their stored row; `missing` where there is none."""
-    kept = store.withColumn("_stored", F.lit(True))
-    joined = wanted.join(kept, key, "left")
+def newest_batches(rows: DataFrame, keys: list[str], broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of batch folders with those left out that a later batch wrote again; keys are unique within a batch.
+
+    Only keys and batch numbers are grouped to find the keys written more than once. While those are few they are sent
+    to the wide rows; when they are many the rows are joined to them by key.
+    """
+    written = rows.groupBy(*keys).agg(F.max("batch").alias("last"), F.count(F.lit(1)).alias("n"))
+    again = cut_lineage(written.filter(F.col("n") > 1).select(*keys, "last"))
+    marked = rows.join(small(again, broadcast_rows), keys, "left")
+    return marked.filter(F.col("last").isNull() | (F.col("last") == F.col("batch"))).drop("last")
+
+
+def small(rows: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Asks for a broadcast if the rows are counted to be few; otherwise leaves the join to Spark."""
+    return F.broadcast(rows) if rows.count() <= limit else rows
+
+
+def lookup(wanted: DataFrame, store: DataFrame, key: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Wanted rows with the stored row of their key; `missing` where there is none.
+
+    The store is first cut down to the wanted keys where it lies, so that it is not shuffled for a few of its rows.
+    """
+    wanted = cut_lineage(wanted)
+    keys = cut_lineage(wanted.select(key).distinct())
+    found = store.join(small(keys, broadcast_rows), key, "left_semi").withColumn("_stored", F.lit(True))
+    joined = wanted.join(found, key, "left")
     return joined.withColumn("missing", F.col("_stored").isNull()).drop("_stored")
 
 

@@ -9,11 +9,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def wide_table(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
-    """The table, spread over all cores when its files have fewer splits than that.
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Source rows over all cores, when their files have fewer splits than that.
 
     For stages that cost far more per row than moving the row does. A table of many splits is left where it lies.
     """
-    rows = table(spark, folder, name)
-    cores = spark.sparkContext.defaultParallelism
+    cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
+
+
+def wide_table(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
+    return spread(table(spark, folder, name), key)

@@ -15,9 +15,10 @@ from lexloom.operators import answer as an
 from lexloom.operators.chunk import document_chunks, statute_chunks
 from lexloom.operators.embed import Embedder, embed
 from lexloom.operators.extract import frontier_links, quarantine, scrape
-from lexloom.operators.store import latest_per_key
+from lexloom.operators.store import latest_per_key, newest_batches
 from lexloom.operators.vector_table import VectorTable
 from lexloom.sources import events as messages
+from lexloom.sources.tables import spread
 
 BatchSink = Callable[[DataFrame, int], None]
 
@@ -58,15 +59,15 @@ def write_batch(rows: DataFrame, path: str, batch: int) -> None:
 
 
 def read_latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    return latest_per_key(spark.read.parquet(path), keys, ["batch"]).drop("batch")
+    return newest_batches(spark.read.parquet(path), keys).drop("batch")
 
 
 def scrape_sink(out: str) -> BatchSink:
     """Raw pages to chunks, links and quarantine, all from one reading of each page."""
 
     def sink(pages: DataFrame, batch: int) -> None:
-        scraped = scrape(pages).persist()
-        write_batch(statute_chunks(scraped), f"{out}/chunks", batch)
+        scraped = scrape(spread(pages, "url")).persist()
+        write_batch(latest_per_key(statute_chunks(scraped), ["id"], ["url", "pos"]), f"{out}/chunks", batch)
         write_batch(frontier_links(scraped), f"{out}/links", batch)
         write_batch(quarantine(scraped), f"{out}/quarantine", batch)
         scraped.unpersist()
@@ -88,13 +89,17 @@ def index_sink(vectors: VectorTable, embedder: Embedder) -> BatchSink:
     vectors.init()
 
     def sink(documents: DataFrame, batch: int) -> None:
-        vectors.upsert(embed(document_chunks(documents), "id", "body", embedder), batch)
+        chunks = document_chunks(spread(documents, "doc_id"))
+        vectors.upsert(embed(chunks, "id", "body", embedder), batch)
 
     return sink
 
 
 def answer_sink(out: str, index: DataFrame, store: DataFrame, embedder: Embedder, dim: int, sender: str) -> BatchSink:
-    """Inbound messages (id, body) to outbox rows; unreadable and failed ones are stored with status 500."""
+    """Inbound messages (id, body) to outbox rows; unreadable and failed ones are stored with status 500.
+
+    The index holds stored vectors, so that no batch embeds the chunks again.
+    """
 
     def sink(inbound: DataFrame, batch: int) -> None:
         parsed = inbound.select("id", messages.parsed(F.col("body"), messages.INBOUND).alias("m"))
