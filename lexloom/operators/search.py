@@ -6,6 +6,7 @@ vectors, each with the next block, never a larger block. No vector is shuffled;
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -180,17 +181,28 @@ def top_k_texts(
     return _passes(rows, queries, k, dim, block_bytes, QueryBlock, lambda part: embedder(part.column("body").to_pylist()))
 
 
+def bucket_tables(recall: float, cosine: float, bits: int) -> int:
+    """Tables needed so that two vectors at this cosine share a bucket of some table with probability `recall`."""
+    same_bucket = (1 - math.acos(cosine) / math.pi) ** bits
+    return math.ceil(math.log(1 - recall) / math.log(1 - same_bucket))
+
+
 def top_k_approximate(
     vectors: DataFrame,
     queries: DataFrame,
     dim: int,
     k: int = TOP_K,
-    tables: int = 12,
+    recall: float = 0.9,
+    cosine: float = 0.6,
     bits: int = 6,
     seed: int = 7,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """As top_k, but only pairs that share a random-half-space bucket are scored; their scores are exact."""
+    """As top_k, but only pairs that share a random-half-space bucket are scored; their scores are exact.
+
+    There are as many bucket tables as it takes to find a neighbour at the given cosine with the given probability.
+    """
+    tables = bucket_tables(recall, cosine, bits)
     rows = vectors.select(F.col("id").cast("string"), F.col("vector").cast("array<double>"))
     return _passes(
         rows,
