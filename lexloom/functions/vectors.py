@@ -7,6 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SCORE_SCALE = 1_000_000.0
+SINGLE_EXACT = 2.0**24
 
 
 def dot(left: Column, right: Column) -> Column:
@@ -27,12 +28,31 @@ def cosine_score(vector: Column, query: Column) -> Column:
     return rounded(1.0 + dot(vector, query) / F.when(size > 0, size))
 
 
+def dot_block(matrix: np.ndarray, norms: np.ndarray, queries: np.ndarray, query_norms: np.ndarray) -> np.ndarray:
+    """Dot product of every (query, row).
+
+    Whole numbers whose norms keep all sums below 2^24 are multiplied in single precision, which is then exact.
+    """
+    small = len(norms) and len(query_norms) and norms.max() * query_norms.max() < SINGLE_EXACT
+    if small and is_whole(queries) and is_whole(matrix):
+        return (queries.astype(np.float32) @ matrix.astype(np.float32).T).astype(np.float64)
+    return queries @ matrix.T
+
+
+def is_whole(matrix: np.ndarray) -> bool:
+    return bool((matrix == np.rint(matrix)).all())
+
+
 def score_block(matrix: np.ndarray, norms: np.ndarray, queries: np.ndarray, query_norms: np.ndarray) -> np.ndarray:
     """The same score for every (query, row) of two blocks."""
-    scores = queries @ matrix.T
+    scores = dot_block(matrix, norms, queries, query_norms)
     scores /= query_norms[:, None] * norms[None, :]
     scores += 1.0
-    return np.floor(scores * SCORE_SCALE + 0.5) / SCORE_SCALE
+    scores *= SCORE_SCALE
+    scores += 0.5
+    np.floor(scores, out=scores)
+    scores /= SCORE_SCALE
+    return scores
 
 
 def row_norms(matrix: np.ndarray) -> np.ndarray:

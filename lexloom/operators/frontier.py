@@ -5,16 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.operators.store import small
+from lexloom.operators.store import BROADCAST_ROWS
 from lexloom.params import MAX_RECEIVES, SEED_URL
-from lexloom.session import cut_lineage
+from lexloom.session import written
 
 COMPACT_EVERY = 16
 
 
+def not_among(given: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Distinct given keys that are not known.
+
+    One grouping of both sides in place of a distinct and an anti-join: every task first reduces its own rows to one
+    per key, so a key with a large share of either side costs no more than any other.
+    """
+    marked = given.select(key, F.lit(False).alias("known")).unionByName(known.select(key, F.lit(True).alias("known")))
+    return marked.groupBy(key).agg(F.max("known").alias("known")).filter(~F.col("known")).select(key)
+
+
 def unseen(frontier: DataFrame, seen: DataFrame) -> DataFrame:
     """Distinct frontier URLs not yet seen, by exact string match."""
-    return frontier.select("url").distinct().join(seen.select("url"), "url", "left_anti")
+    return not_among(frontier, seen, "url")
 
 
 def merge_seen(seen: DataFrame, stored: DataFrame) -> DataFrame:
@@ -34,16 +44,19 @@ def crawl_closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     Each round joins only the newest level, drops what is already visited and is written out, so a lost executor
     costs a round's rereading and the plan stays short. A small level goes to the edges, which then stay in place.
     """
-    edges = cut_lineage(edges.select("src", "dst").distinct())
-    level = cut_lineage(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
-    visited, depth = level, 0
-    while not level.isEmpty():
+    edges = written(edges.select("src", "dst").distinct())
+    level = written(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
+    visited, depth, n = level, 0, level.count()
+    while n:
         depth += 1
-        reached = edges.join(small(level.select(F.col("url").alias("src"))), "src").select(F.col("dst").alias("url")).distinct()
-        level = cut_lineage(reached.join(visited, "url", "left_anti").withColumn("depth", F.lit(depth)))
+        sources = level.select(F.col("url").alias("src"))
+        sources = F.broadcast(sources) if n <= BROADCAST_ROWS else sources
+        reached = edges.join(sources, "src").select(F.col("dst").alias("url"))
+        level = written(not_among(reached, visited, "url").withColumn("depth", F.lit(depth)))
+        n = level.count()
         visited = visited.unionByName(level)
         if depth % COMPACT_EVERY == 0:
-            visited = cut_lineage(visited.repartition("url"))
+            visited = written(visited)
     return visited
 
 
@@ -57,4 +70,4 @@ def fetch_outcome(status: Column) -> Column:
 
 def pending(given: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Inputs of a stage that have no output yet."""
-    return given.select(key).distinct().join(done.select(key), key, "left_anti")
+    return not_among(given, done, key)

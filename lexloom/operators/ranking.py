@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.params import MAX_CRAWL_WORKERS
-from lexloom.session import cut_lineage
+from lexloom.session import written
 
 
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
@@ -16,7 +16,7 @@ def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     one row per range, are added up in one place.
     """
     spread = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
-    spread = cut_lineage(spread)
+    spread = written(spread)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         spread.groupBy("part")

@@ -20,8 +20,10 @@ from lexloom.operators.embed import Embedder, embed
 from lexloom.params import TOP_K
 from lexloom.session import ship_package, written
 
-BLOCK_BYTES = 16 * 1024 * 1024
-ROWS_PER_STEP = 1024
+# A block of queries is sent to every executor; a step scores at most so many pairs at once.
+BLOCK_BYTES = 64 * 1024 * 1024
+PAIRS_PER_STEP = 2_000_000
+MAX_ROWS_PER_STEP = 1024
 MERGE_SHARES = 16
 HITS = pa.schema([("query_id", pa.string()), ("id", pa.string()), ("score", pa.float64())])
 
@@ -77,7 +79,7 @@ class Best:
 
     def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
         floor = self.floor
-        if scores.shape[1] > self.k:
+        if scores.shape[1] > self.k and np.isneginf(floor).any():
             floor = np.maximum(floor, np.partition(scores, -self.k, axis=1)[:, -self.k])
         query, row = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
         if not len(query):
@@ -112,9 +114,10 @@ def scan(rows: DataFrame, block: QueryBlock, k: int, matrix_of: Callable[[pa.Rec
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = shared.value
         best = Best(len(queries.ids), k)
+        step = min(MAX_ROWS_PER_STEP, max(1, PAIRS_PER_STEP // max(1, len(queries.ids))))
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS_PER_STEP):
-                part = batch.slice(start, ROWS_PER_STEP)
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
                 matrix = matrix_of(part)
                 norms = row_norms(matrix)
                 usable = norms > 0
@@ -155,7 +158,8 @@ def query_blocks(queries: DataFrame, dim: int, block_bytes: int) -> Iterator[pa.
         yield first
         return
     stored = written(queries, "queries")
-    blocks = -(-2 * stored.count() // limit)
+    # Blocks are filled to nine tenths on average; one that runs over is cut in two.
+    blocks = math.ceil(stored.count() / (0.9 * limit))
     for block in range(blocks):
         part = stored.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()
         for start in range(0, part.num_rows, limit):

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.params import MESSAGE_MAX_BYTES
-from lexloom.session import cut_lineage
+from lexloom.session import written
 
 # Rows of keys and numbers that every executor can hold.
 BROADCAST_ROWS = 500_000
@@ -35,8 +35,8 @@ def newest_batches(rows: DataFrame, keys: list[str], broadcast_rows: int = BROAD
     Only keys and batch numbers are grouped to find the keys written more than once. While those are few they are sent
     to the wide rows; when they are many the rows are joined to them by key.
     """
-    written = rows.groupBy(*keys).agg(F.max("batch").alias("last"), F.count(F.lit(1)).alias("n"))
-    again = cut_lineage(written.filter(F.col("n") > 1).select(*keys, "last"))
+    times = rows.groupBy(*keys).agg(F.max("batch").alias("last"), F.count(F.lit(1)).alias("n"))
+    again = written(times.filter(F.col("n") > 1).select(*keys, "last"))
     marked = rows.join(small(again, broadcast_rows), keys, "left")
     return marked.filter(F.col("last").isNull() | (F.col("last") == F.col("batch"))).drop("last")
 
@@ -51,8 +51,8 @@ def lookup(wanted: DataFrame, store: DataFrame, key: str, broadcast_rows: int =
 
     The store is first cut down to the wanted keys where it lies, so that it is not shuffled for a few of its rows.
     """
-    wanted = cut_lineage(wanted)
-    keys = cut_lineage(wanted.select(key).distinct())
+    wanted = written(wanted)
+    keys = written(wanted.select(key).distinct())
     found = store.join(small(keys, broadcast_rows), key, "left_semi").withColumn("_stored", F.lit(True))
     joined = wanted.join(found, key, "left")
     return joined.withColumn("missing", F.col("_stored").isNull()).drop("_stored")

@@ -1,4 +1,4 @@
-"""Session settings, the shared work folder and lineage cuts."""
+"""Session settings, the shared work folder and stored intermediate rows."""
 
 from __future__ import annotations
 
@@ -60,17 +60,11 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/lexloom/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and go on from there."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+def written(df: DataFrame, name: str = "rows") -> DataFrame:
+    """Store the rows as a table in the shared folder and go on from there.
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Store the rows as a table in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = work_path(spark, name)
+    Computes the rows once, ends their lineage, and lets Spark know their size; a lost executor costs only a rereading.
+    """
+    path = work_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
