@@ -25,6 +25,7 @@ TOKEN = re.compile(
     re.S,
 )
 GROUPS = 7
+DOCTYPE = re.compile(r"(?:\s|<!--.*?-->)*+<!doctype", re.I | re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 PLAIN_ATTRIBUTE = re.compile(r"\s*([a-zA-Z][\w-]*)=\"([^\"&]*)\"\s*")
 ATTRIBUTE_REF = re.compile(r"&(?:#(?:[xX][0-9a-fA-F]+|[0-9]+);?|[a-zA-Z][a-zA-Z0-9]*+(?:;|(?!=)))")
@@ -60,7 +61,7 @@ class Page:
         self.open_tags: list[str] = []
         if "\r" in source:
             source = source.replace("\r\n", "\n").replace("\r", "\n")
-        self.quirks = not source.lstrip()[:9].lower().startswith("<!doctype")
+        self.quirks = DOCTYPE.match(source) is None
         self._read(source)
 
     # Reading

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.operators.extract import frontier_links, scrape
 from lexloom.operators.store import BROADCAST_ROWS
 from lexloom.params import MAX_RECEIVES, SEED_URL
 from lexloom.session import written
@@ -60,6 +61,19 @@ def crawl_closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return visited
 
 
+def populate(snapshot: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The crawl from seeds over a snapshot of fetched pages (url, html): (url, depth, outcome, error_code, statute).
+
+    Links of good index pages feed the frontier until nothing new turns up; a URL that is not in the snapshot has outcome
+    `not_fetched`. All pages are read once, before the rounds, which then move only URLs.
+    """
+    scraped = written(scrape(snapshot), "scraped")
+    edges = frontier_links(scraped).select(F.col("url").alias("src"), F.col("link").alias("dst"))
+    reached = crawl_closure(edges, seeds)
+    found = reached.join(scraped.select("url", "outcome", "error_code", "statute"), "url", "left")
+    return found.withColumn("outcome", F.coalesce("outcome", F.lit("not_fetched")))
+
+
 def delivery_state(failures: Column, max_receives: int = MAX_RECEIVES) -> Column:
     return F.when(failures == 0, "done").when(failures < max_receives, "retry").otherwise("dead_letter")
 

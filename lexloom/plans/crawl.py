@@ -9,8 +9,10 @@ from lexloom.operators.chunk import document_chunks
 from lexloom.operators.extract import page_links
 from lexloom.operators.metrics import backlog_per_worker, step_signal
 from lexloom.operators.ranking import crawl_schedule
-from lexloom.plans.pages import PAGE_LINKS
+from lexloom.params import SITE_HOST
+from lexloom.plans.pages import PAGE_LINKS, RENDERED
 from lexloom.plans.stores import DOCUMENT_CHUNKS
+from lexloom.sources.rendered import rendered_pages
 from lexloom.sources.tables import table, wide_table
 
 
@@ -45,6 +47,15 @@ def crawl_closure(spark, sf):
     return fr.crawl_closure(edges, pages.filter("page_id = 0"))
 
 
+def crawl_population(spark, sf):
+    """From the first index page to chunks: every URL reached, how its page turned out, and its number of chunks."""
+    pages = rendered_pages(spark, sf)
+    found = fr.populate(pages, spark.createDataFrame([(f"https://{SITE_HOST}/statutes/part/0",)], "url string"))
+    return found.select(
+        "url", "depth", "outcome", "error_code", F.coalesce(F.size("statute.subdivisions"), F.lit(0)).alias("n_chunks")
+    )
+
+
 def fetch_outcome_split(spark, sf):
     events = table(spark, sf, "events")
     status = F.when(F.col("event_type") == "error", 500).otherwise(200)
@@ -110,6 +121,7 @@ QUERIES = {
     "seen_merge": seen_merge,
     "frontier_distinct": frontier_distinct,
     "crawl_closure": crawl_closure,
+    "crawl_population": crawl_population,
     "fetch_outcome_split": fetch_outcome_split,
     "dead_letter_split": dead_letter_split,
     "crawl_schedule": schedule,
@@ -137,6 +149,13 @@ ORACLES = {
       walk AS (SELECT 0::BIGINT AS page_id, 0 AS depth
         UNION SELECT dst, depth + 1 FROM walk JOIN edges ON src = walk.page_id WHERE depth < 40)
       SELECT url, min(depth) AS depth FROM walk JOIN pages USING (page_id) GROUP BY 1""",
+    "crawl_population": RENDERED.replace("WITH sec", "WITH RECURSIVE sec", 1)
+    + """, walk AS (SELECT 'https://www.revisor.mn.gov/statutes/part/0' AS url, 0 AS depth
+        UNION SELECT link, depth + 1 FROM walk JOIN links USING (url)),
+      reached AS (SELECT url, min(depth) AS depth FROM walk GROUP BY 1),
+      per_page AS (SELECT url, count(*) AS n FROM chunks GROUP BY 1)
+    SELECT url, depth, coalesce(outcome, 'not_fetched') AS outcome, error_code, coalesce(n, 0) AS n_chunks
+    FROM reached LEFT JOIN all_pages USING (url) LEFT JOIN per_page USING (url)""",
     "fetch_outcome_split": """SELECT event_id, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status,
       CASE WHEN event_type = 'error' THEN 'retry' ELSE 'stored' END AS outcome FROM events""",
     "dead_letter_split": """SELECT user_id, CAST(ts AS DATE) AS day, count(*) FILTER (event_type = 'error') AS failures,

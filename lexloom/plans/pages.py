@@ -74,9 +74,9 @@ WITH sec AS (
 ), idx AS (
   SELECT o_orderkey AS k, o_orderkey // 50 AS page, o_orderstatus AS st, o_orderpriority AS pr,
          CASE WHEN o_orderstatus = 'P' THEN ''
-              WHEN o_orderkey % 3 = 0 THEN '//www.revisor.mn.gov/statutes/cite/' || o_orderkey
-              WHEN o_orderkey % 3 = 1 THEN '/statutes/cite/' || o_orderkey
-              ELSE 'https://www.revisor.mn.gov/statutes/cite/' || o_orderkey END AS href
+              WHEN o_orderkey % 3 = 0 THEN '//www.revisor.mn.gov/statutes/cite/' || (o_orderkey % 100) || '.' || o_orderkey
+              WHEN o_orderkey % 3 = 1 THEN '/statutes/cite/' || (o_orderkey % 100) || '.' || o_orderkey
+              ELSE 'https://www.revisor.mn.gov/statutes/cite/' || (o_orderkey % 100) || '.' || o_orderkey END AS href
   FROM orders
 ), index_pages AS (
   SELECT DISTINCT page, page % 11 AS w, CASE WHEN page % 11 = 1 THEN -1 ELSE 1 + page % 3 END AS page_kind,
@@ -85,8 +85,10 @@ WITH sec AS (
 ), listed AS (
   SELECT page, k AS ord, CASE WHEN st = 'P' THEN 'Repealed ' || pr ELSE upper(pr) || ' A&B' END AS title, href,
          CASE WHEN st <> 'P' AND k % 7 = 0 THEN 3 ELSE 2 END AS n_td, st <> 'P' AS valid,
-         CASE WHEN st = 'P' THEN NULL ELSE 'https://www.revisor.mn.gov/statutes/cite/' || k END AS link
+         CASE WHEN st = 'P' THEN NULL ELSE 'https://www.revisor.mn.gov/statutes/cite/' || (k % 100) || '.' || k END AS link
   FROM idx
+  UNION ALL SELECT page, 8000000000000000 + more, 'PART ' || (2 * page + more), '/statutes/part/' || (2 * page + more), 2, true,
+    'https://www.revisor.mn.gov/statutes/part/' || (2 * page + more) FROM index_pages, (VALUES (5), (6)) AS m(more)
   UNION ALL SELECT page, -1, NULL, '', 1, false, NULL FROM index_pages
   UNION ALL SELECT page, 9000000000000000, NULL, '', 1, false, NULL FROM index_pages WHERE w = 3
   UNION ALL SELECT page, 9000000000000000, 'CAPS ONLY', '', 2, true, '' FROM index_pages WHERE w = 4

@@ -132,9 +132,12 @@ def section_url():
 
 
 def index_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Index pages of 50 order keys each, the kind and the defect turning with the page number."""
+    """Index pages of 50 order keys each, the kind and the defect turning with the page number.
+
+    Page p also lists the pages 2p+5 and 2p+6, whether or not they exist.
+    """
     key = F.col("o_orderkey")
-    path = F.format_string("/statutes/cite/%d", key)
+    path = F.format_string("/statutes/cite/%d.%d", key % 100, key)
     href = (
         F.when(key % 3 == 0, F.concat(F.lit(f"//{SITE_HOST}"), path))
         .when(key % 3 == 1, path)
@@ -163,10 +166,16 @@ def index_pages(spark: SparkSession, folder: str) -> DataFrame:
     page = F.col("page")
     variant = page % INDEX_VARIANTS
     sub = F.format_string('<tr class="sub"><td>Part %d</td></tr>', page)
+    further = F.concat(
+        *[
+            F.format_string('<tr><td><a href="/statutes/part/%d">more</a></td><td>PART %d</td></tr>', n, n)
+            for n in (2 * page + 5, 2 * page + 6)
+        ]
+    )
     tail = F.when(variant == 3, "<tr><td>lonely</td></tr>").when(
         variant == 4, "<tr><td>plain</td><td>CAPS ONLY</td></tr>"
     )
-    rows = F.when(variant == 2, "").otherwise(F.concat(sub, F.col("rows"), F.coalesce(tail, F.lit(""))))
+    rows = F.when(variant == 2, "").otherwise(F.concat(sub, F.col("rows"), further, F.coalesce(tail, F.lit(""))))
     html = (
         F.when(
             variant == 1, F.concat(F.lit('<div><h2>Index</h2><table id="toc_table">'), rows, F.lit("</table></div>"))
