@@ -43,6 +43,10 @@ SPECIAL = BLOCKS | SCOPE | TABLE_PARTS | frozenset(["button"])
 SKIPPED = frozenset("html head body".split())
 PLAIN = frozenset("abbr b bdi bdo cite code data dfn em i kbd label mark q s samp small span strong sub sup u var".split())
 TAG, ATTRIBUTES, PARENT, LAST, FIRST_TEXT, LAST_TEXT = range(6)
+CELLS = frozenset(["td", "th"])
+P_TAG = frozenset(["p"])
+# Blocks that end an open paragraph and nothing else.
+CLOSERS = BLOCKS - HEADINGS - {"table", "li", "dd", "dt", "hr"}
 ITEM_BARRIER = SPECIAL - {"address", "div", "p"}
 TABLE_LEVELS = SECTIONS | {"table", "tr"}
 P_BARRIER = SCOPE | {"button"}
@@ -85,7 +89,11 @@ class Page:
                     node[LAST], node[LAST_TEXT] = len(nodes) - 1, len(texts)
                 elif tag not in SKIPPED:
                     self._end(tag)
-            elif tag in PLAIN:
+            elif tag in PLAIN or (tag in CELLS and open_tags and open_tags[-1] == "tr"):
+                self._push(tag, raw)
+            elif tag in CLOSERS:
+                if "p" in open_tags:
+                    self._close_from(self._level(P_TAG, P_BARRIER))
                 self._push(tag, raw)
             elif tag not in SKIPPED:
                 self._start(tag, raw)

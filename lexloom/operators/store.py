@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.params import MESSAGE_MAX_BYTES
-from lexloom.session import written
+from lexloom.session import written, written_counted
 
 # Rows of keys and numbers that every executor can hold.
 BROADCAST_ROWS = 500_000
@@ -36,14 +36,15 @@ def newest_batches(rows: DataFrame, keys: list[str], broadcast_rows: int = BROAD
     to the wide rows; when they are many the rows are joined to them by key.
     """
     times = rows.groupBy(*keys).agg(F.max("batch").alias("last"), F.count(F.lit(1)).alias("n"))
-    again = written(times.filter(F.col("n") > 1).select(*keys, "last"))
-    marked = rows.join(small(again, broadcast_rows), keys, "left")
+    again = small(times.filter(F.col("n") > 1).select(*keys, "last"), broadcast_rows)
+    marked = rows.join(again, keys, "left")
     return marked.filter(F.col("last").isNull() | (F.col("last") == F.col("batch"))).drop("last")
 
 
 def small(rows: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Asks for a broadcast if the rows are counted to be few; otherwise leaves the join to Spark."""
-    return F.broadcast(rows) if rows.count() <= limit else rows
+    """Stores the rows, and asks for a broadcast if they are counted to be few; otherwise leaves the join to Spark."""
+    stored, n = written_counted(rows)
+    return F.broadcast(stored) if n <= limit else stored
 
 
 def lookup(wanted: DataFrame, store: DataFrame, key: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -52,8 +53,8 @@ def lookup(wanted: DataFrame, store: DataFrame, key: str, broadcast_rows: int =
     The store is first cut down to the wanted keys where it lies, so that it is not shuffled for a few of its rows.
     """
     wanted = written(wanted)
-    keys = written(wanted.select(key).distinct())
-    found = store.join(small(keys, broadcast_rows), key, "left_semi").withColumn("_stored", F.lit(True))
+    keys = small(wanted.select(key).distinct(), broadcast_rows)
+    found = store.join(keys, key, "left_semi").withColumn("_stored", F.lit(True))
     joined = wanted.join(found, key, "left")
     return joined.withColumn("missing", F.col("_stored").isNull()).drop("_stored")
 

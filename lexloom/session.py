@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -68,3 +69,10 @@ def written(df: DataFrame, name: str = "rows") -> DataFrame:
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written_counted(df: DataFrame, name: str = "rows") -> tuple[DataFrame, int]:
+    """As written, with the number of rows, taken while they are written."""
+    counted = Observation()
+    stored = written(df.observe(counted, F.count(F.lit(1)).alias("n")), name)
+    return stored, counted.get["n"]
