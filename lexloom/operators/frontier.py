@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexloom.operators.extract import frontier_links, scrape
 from lexloom.operators.store import BROADCAST_ROWS
 from lexloom.params import MAX_RECEIVES, SEED_URL
-from lexloom.session import written, written_counted
+from lexloom.session import checkpointed, written
 
 COMPACT_EVERY = 16
 
@@ -46,17 +46,18 @@ def crawl_closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     costs a round's rereading and the plan stays short. A small level goes to the edges, which then stay in place.
     """
     edges = written(edges.select("src", "dst").distinct())
-    level, n = written_counted(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
-    visited, depth = level, 0
+    level = checkpointed(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
+    visited, depth, n = level, 0, level.count()
     while n:
         depth += 1
         sources = level.select(F.col("url").alias("src"))
         sources = F.broadcast(sources) if n <= BROADCAST_ROWS else sources
         reached = edges.join(sources, "src").select(F.col("dst").alias("url"))
-        level, n = written_counted(not_among(reached, visited, "url").withColumn("depth", F.lit(depth)))
+        level = checkpointed(not_among(reached, visited, "url").withColumn("depth", F.lit(depth)))
+        n = level.count()
         visited = visited.unionByName(level)
         if depth % COMPACT_EVERY == 0:
-            visited = written(visited)
+            visited = checkpointed(visited.repartition("url"))
     return visited
 
 
