@@ -23,9 +23,9 @@ def rounded(score: Column) -> Column:
 
 
 def cosine_score(vector: Column, query: Column) -> Column:
-    """1 + cosine, to six digits; null where a norm is zero."""
+    """1 + cosine, to six digits; null where a vector has no direction."""
     size = norm(vector) * norm(query)
-    return rounded(1.0 + dot(vector, query) / F.when(size > 0, size))
+    return rounded(1.0 + dot(vector, query) / F.when((size > 0) & (size < float("inf")), size))
 
 
 def dot_block(matrix: np.ndarray, norms: np.ndarray, queries: np.ndarray, query_norms: np.ndarray) -> np.ndarray:

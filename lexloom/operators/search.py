@@ -12,6 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +38,8 @@ class QueryBlock:
         self.ids = np.array(table.column("query_id").to_pylist(), dtype=str)
         self.matrix = dense(table.column("vector").combine_chunks())
         norms = row_norms(self.matrix) if len(self.ids) else np.zeros(0)
-        self.ids, self.matrix, self.norms = self.ids[norms > 0], self.matrix[norms > 0], norms[norms > 0]
+        fit = usable(norms)
+        self.ids, self.matrix, self.norms = self.ids[fit], self.matrix[fit], norms[fit]
 
     def scores(self, matrix: np.ndarray, norms: np.ndarray) -> np.ndarray:
         return score_block(matrix, norms, self.matrix, self.norms)
@@ -73,6 +75,7 @@ class Best:
     def __init__(self, queries: int, k: int):
         self.k = k
         self.floor = np.full(queries, -np.inf)
+        self.last = np.full(queries, "")
         self.query = np.zeros(0, dtype=np.int64)
         self.score = np.zeros(0)
         self.ids = np.zeros(0, dtype="U1")
@@ -82,6 +85,9 @@ class Best:
         if scores.shape[1] > self.k and np.isneginf(floor).any():
             floor = np.maximum(floor, np.partition(scores, -self.k, axis=1)[:, -self.k])
         query, row = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
+        # A row that only equals a full query's last score must come before its last id; copies mostly end here.
+        better = (scores[query, row] > self.floor[query]) | (ids[row] < self.last[query])
+        query, row = query[better], row[better]
         if not len(query):
             return
         all_query = np.concatenate([self.query, query])
@@ -95,6 +101,19 @@ class Best:
         self.query, self.score, self.ids = all_query[keep], all_score[keep], all_ids[keep]
         full = rank[keep] == self.k - 1
         self.floor[self.query[full]] = self.score[full]
+        self.last = self.last.astype(np.promote_types(self.last.dtype, self.ids.dtype))
+        self.last[self.query[full]] = self.ids[full]
+
+
+def usable(norms: np.ndarray) -> np.ndarray:
+    """Vectors with a direction: not all zeros, and every element a finite number."""
+    return np.isfinite(norms) & (norms > 0)
+
+
+def of_dimension(rows: DataFrame, key: str, dim: int) -> DataFrame:
+    """Key and vector of the rows whose vector has the right length; the others are for the quarantine."""
+    vectors = rows.select(F.col(key).cast("string"), F.col("vector").cast("array<double>"))
+    return vectors.filter(F.size("vector") == dim)
 
 
 def dense(vectors: pa.Array) -> np.ndarray:
@@ -105,8 +124,10 @@ def dense(vectors: pa.Array) -> np.ndarray:
     return values.reshape(len(vectors), -1)
 
 
-def scan(rows: DataFrame, block: QueryBlock, k: int, matrix_of: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
-    """Each task's top k per query over its own rows."""
+def scan(
+    rows: DataFrame, block: QueryBlock, k: int, matrix_of: Callable[[pa.RecordBatch], np.ndarray]
+) -> tuple[DataFrame, Broadcast]:
+    """Each task's top k per query over its own rows; and the block as it was sent to the tasks."""
     spark = rows.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(block)
@@ -120,10 +141,10 @@ def scan(rows: DataFrame, block: QueryBlock, k: int, matrix_of: Callable[[pa.Rec
                 part = batch.slice(start, step)
                 matrix = matrix_of(part)
                 norms = row_norms(matrix)
-                usable = norms > 0
-                if len(queries.ids) and usable.any():
-                    ids = np.array(part.column("id").to_pylist(), dtype=str)[usable]
-                    best.add(ids, queries.scores(matrix[usable], norms[usable]))
+                fit = usable(norms)
+                if len(queries.ids) and fit.any():
+                    ids = np.array(part.column("id").to_pylist(), dtype=str)[fit]
+                    best.add(ids, queries.scores(matrix[fit], norms[fit]))
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(queries.ids[best.query].tolist() if len(best.query) else [], pa.string()),
@@ -133,7 +154,7 @@ def scan(rows: DataFrame, block: QueryBlock, k: int, matrix_of: Callable[[pa.Rec
             schema=HITS,
         )
 
-    return rows.mapInArrow(run, "query_id string, id string, score double")
+    return rows.mapInArrow(run, "query_id string, id string, score double"), shared
 
 
 def ranked(hits: DataFrame, k: int) -> DataFrame:
@@ -152,7 +173,7 @@ def ranked(hits: DataFrame, k: int) -> DataFrame:
 def query_blocks(queries: DataFrame, dim: int, block_bytes: int) -> Iterator[pa.Table]:
     """The queries in tables of at most about block_bytes."""
     limit = max(1, block_bytes // (8 * dim))
-    queries = queries.select(F.col("query_id").cast("string"), F.col("vector").cast("array<double>"))
+    queries = of_dimension(queries, "query_id", dim)
     first = queries.limit(limit + 1).toArrow()
     if first.num_rows <= limit:
         yield first
@@ -167,13 +188,26 @@ def query_blocks(queries: DataFrame, dim: int, block_bytes: int) -> Iterator[pa.
 
 
 def _passes(rows, queries, k, dim, block_bytes, make_block, matrix_of) -> DataFrame:
-    found = [scan(rows, make_block(t), k, matrix_of) for t in query_blocks(queries, dim, block_bytes)]
-    return ranked(reduce(DataFrame.unionByName, found), k)
+    """One pass per block. With several blocks each pass is finished and stored before the next block is fetched, so that
+    the driver and the executors hold one block at a time.
+    """
+    blocks = query_blocks(queries, dim, block_bytes)
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
+        hits, _ = scan(rows, make_block(block), k, matrix_of)
+        return ranked(hits, k)
+    found = []
+    while block is not None:
+        hits, shared = scan(rows, make_block(block), k, matrix_of)
+        found.append(written(ranked(hits, k), "hits"))
+        shared.destroy()
+        block, following = following, next(blocks, None)
+    return reduce(DataFrame.unionByName, found)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, dim: int, k: int = TOP_K, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Exact: (query_id, rank, id, score) from (id, vector) and (query_id, vector)."""
-    rows = vectors.select(F.col("id").cast("string"), F.col("vector").cast("array<double>"))
+    rows = of_dimension(vectors, "id", dim)
     return _passes(rows, queries, k, dim, block_bytes, QueryBlock, lambda part: dense(part.column("vector")))
 
 
@@ -207,7 +241,7 @@ def top_k_approximate(
     There are as many bucket tables as it takes to find a neighbour at the given cosine with the given probability.
     """
     tables = bucket_tables(recall, cosine, bits)
-    rows = vectors.select(F.col("id").cast("string"), F.col("vector").cast("array<double>"))
+    rows = of_dimension(vectors, "id", dim)
     return _passes(
         rows,
         queries,

@@ -53,6 +53,15 @@ def test_fewer_rows_than_k(data):
     assert collected(search.top_k(few, asked, DIM, 10)) == brute_force(rows[:3], queries, 10)
 
 
+def test_vectors_that_cannot_be_indexed_are_passed_over(spark, data):
+    rows, queries, vectors, asked = data
+    bad = [[1.0] * (DIM - 1), [1.0] * (DIM + 1), None, [None] + [1.0] * (DIM - 1), [float("nan")] * DIM, [float("inf")] * DIM]
+    added = spark.createDataFrame([(f"a{i}", v) for i, v in enumerate(bad)], "id string, vector array<double>")
+    ill_asked = added.withColumnRenamed("id", "query_id")
+    found = search.top_k(vectors.unionByName(added).coalesce(2), asked.unionByName(ill_asked), DIM, 10)
+    assert collected(found) == brute_force(rows, queries, 10)
+
+
 def test_nothing_to_search_or_ask(data):
     _, _, vectors, asked = data
     assert search.top_k(vectors.limit(0), asked, DIM).count() == 0
@@ -66,6 +75,12 @@ def test_single_query_is_the_same(data):
     assert [(r.id, round(r.score, 6)) for r in found] == [(i, s) for _, i, s in expected]
 
 
+def test_single_query_passes_over_bad_vectors(spark):
+    vectors = [[1.0, 0.0], [float("nan"), 1.0], [None, 1.0], [1.0], [0.0, 0.0], [float("inf"), 0.0], None]
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "id int, vector array<double>")
+    assert [(r.id, r.score) for r in search.nearest(frame, F.lit([2.0, 0.0]), 10).collect()] == [(0, 2.0)]
+
+
 def test_approximate_scores_are_exact_and_most_neighbours_found(data):
     rows, queries, vectors, asked = data
     found = collected(search.top_k_approximate(vectors, asked, DIM, 10))
