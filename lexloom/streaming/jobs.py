@@ -15,6 +15,8 @@ from lexloom.operators import answer as an
 from lexloom.operators.chunk import document_chunks, statute_chunks
 from lexloom.operators.embed import Embedder, embed
 from lexloom.operators.extract import frontier_links, quarantine, scrape
+from lexloom.functions.text import raw_object_key
+from lexloom.operators.frontier import fetch_outcome
 from lexloom.operators.store import latest_per_key, newest_batches
 from lexloom.operators.vector_table import VectorTable
 from lexloom.sources import events as messages
@@ -62,6 +64,22 @@ def read_latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return newest_batches(spark.read.parquet(path), keys).drop("batch")
 
 
+def fetch_sink(out: str) -> BatchSink:
+    """Fetched pages (url, html, status, fetched_at): good ones are stored by key and only then marked seen; others retry."""
+
+    def sink(fetched: DataFrame, batch: int) -> None:
+        outcome = fetch_outcome(F.col("status"))
+        good = fetched.filter(outcome == "stored").select(
+            raw_object_key(F.col("url")).alias("object_key"), "url", "html", "fetched_at"
+        )
+        write_batch(latest_per_key(good, ["object_key"], ["fetched_at", "html"]), f"{out}/pages", batch)
+        stored = fetched.sparkSession.read.parquet(f"{out}/pages/batch={batch}")
+        write_batch(stored.select("url"), f"{out}/seen", batch)
+        write_batch(fetched.filter(outcome == "retry").select("url", "status").distinct(), f"{out}/retry", batch)
+
+    return sink
+
+
 def scrape_sink(out: str) -> BatchSink:
     """Raw pages to chunks, links and quarantine, all from one reading of each page."""
 
