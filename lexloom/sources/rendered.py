@@ -9,6 +9,7 @@ from lexloom.params import SITE_HOST
 from lexloom.sources.tables import table
 
 ORDERS_PER_INDEX_PAGE = 50
+PAGES_PER_PARTITION = 50_000
 VARIANTS = 97
 INDEX_VARIANTS = 11
 
@@ -55,6 +56,7 @@ def subdivision_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def section_pages(spark: SparkSession, folder: str) -> DataFrame:
+    partitions = page_partitions(spark, folder)
     line, part, flag, key = F.col("l_linenumber"), F.col("part"), F.col("flag"), F.col("l_orderkey")
     prefix = F.when(line == 1, "Subdivision ").when(part % 5 == 0, "Subd ").otherwise("Subd. ")
     number = F.concat(line.cast("string"), F.when(part % 7 == 0, "a").otherwise(""))
@@ -90,13 +92,13 @@ def section_pages(spark: SparkSession, folder: str) -> DataFrame:
     bodies = (
         subdivision_rows(spark, folder)
         .select(key, line, div.alias("div"))
-        .repartition(spread(spark), "l_orderkey")
+        .repartition(partitions, "l_orderkey")
         .groupBy("l_orderkey")
         .agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "div"))).alias("divs"))
         .select("l_orderkey", F.array_join("divs.div", "").alias("subds"))
     )
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
-    orders = orders.repartition(spread(spark), "o_orderkey")
+    orders = orders.repartition(partitions, "o_orderkey")
     # Both sides lie by order key in the same number of partitions, so that this join moves nothing.
     joined = orders.join(bodies.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
     variant = F.col("o_orderkey") % VARIANTS
@@ -119,9 +121,10 @@ def section_pages(spark: SparkSession, folder: str) -> DataFrame:
     return joined.select(section_url().alias("url"), page.alias("html"))
 
 
-def spread(spark: SparkSession) -> int:
-    """Partitions for rows that are small here but costly to parse afterwards."""
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def page_partitions(spark: SparkSession, folder: str) -> int:
+    """Partitions of about 50,000 pages, but all cores, since pages are small to move and costly to parse."""
+    pages = table(spark, folder, "orders").count()
+    return max(spark.sparkContext.defaultParallelism, pages // PAGES_PER_PARTITION)
 
 
 def section_cite():
@@ -159,7 +162,7 @@ def index_pages(spark: SparkSession, folder: str) -> DataFrame:
     grouped = (
         table(spark, folder, "orders")
         .select(F.floor(key / ORDERS_PER_INDEX_PAGE).alias("page"), key, row.alias("row"))
-        .repartition(spread(spark), "page")
+        .repartition(page_partitions(spark, folder), "page")
         .groupBy("page")
         .agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "row"))).alias("rows"))
         .select("page", F.array_join("rows.row", "").alias("rows"))
