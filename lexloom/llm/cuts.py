@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.text import row_key, same_key
+from lexloom.llm.text import row_key
 from lexloom.session import ship_package
 
 #: A line with its line end; a sentence with the white space after it. Both cover the whole text.
@@ -59,10 +59,13 @@ def without(docs: DataFrame, removed: DataFrame, end: re.Pattern, id_column: str
     is, null included. Rows with the same id and text lose the same parts.
     """
     ship_package(docs.sparkSession)
-    spans = removed.groupBy("k_id", "k_text").agg(F.collect_set(F.struct("start", "length")).alias("spans"))
+    spans = removed.groupBy(F.col("k_id").alias("of_id"), F.col("k_text").alias("of_text")).agg(
+        F.collect_set(F.struct("start", "length")).alias("spans")
+    )
     whole = F.struct(*(docs[name] for name in docs.columns)).alias("row")
     rows = docs.select(*row_key(id_column, text_column), whole)
-    rows = rows.join(spans, same_key(rows, spans), "left").select("row", "spans")
+    same = F.col("k_id").eqNullSafe(F.col("of_id")) & (F.col("k_text") == F.col("of_text"))
+    rows = rows.join(spans, same, "left").select("row", "spans")
 
     @F.pandas_udf("text binary, n_parts long, n_removed long")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:

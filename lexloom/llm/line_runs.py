@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.cuts import LINE, minimal_windows, parts, without
@@ -74,16 +74,11 @@ def repeated_runs(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     level, found, width = level.drop("lengths"), [], 1
     while width <= longest:
         here = windows.filter((F.col("length") >= width) & (F.col("length") < 2 * width))
-        last = level.select("k_id", "k_text", F.col("i").alias("i_last"), F.col("rank").alias("rank_last"))
-        ends = here.join(level, _same_place(here, level, "i")).select(here["k_id"], here["k_text"], here["i"], "length", "rank")
-        ends = ends.withColumn("i_last", F.col("i") + F.col("length") - width)
-        same = ends["k_id"].eqNullSafe(last["k_id"]) & (ends["k_text"] == last["k_text"]) & (ends["i_last"] == last["i_last"])
-        found.append(ends.join(last, same).select(ends["k_id"], ends["k_text"], "i", "length", "rank", "rank_last"))
+        here = _with_rank(here, level, F.col("i"), "rank")
+        found.append(_with_rank(here, level, F.col("i") + F.col("length") - width, "rank_last"))
         if 2 * width > longest:
             break
-        after = level.select("k_id", "k_text", (F.col("i") - width).alias("i"), F.col("rank").alias("rank_after"))
-        pairs = level.join(after, _same_place(level, after, "i")).select(*(level[name] for name in PLACE), "rank", "rank_after")
-        pairs = pairs.withColumnRenamed("rank", "rank_here")
+        pairs = _with_rank(level.withColumnRenamed("rank", "rank_here"), level, F.col("i") + width, "rank_after")
         level, n = written_counted(_ranked(pairs, ["rank_here", "rank_after"]).select(*PLACE, "rank"), "level")
         width *= 2
         if not n:
@@ -101,8 +96,13 @@ def repeated_runs(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     return repeats.select("k_id", "k_text", F.col("i").alias("start"), "length")
 
 
-def _same_place(left: DataFrame, right: DataFrame, at: str):
-    return left["k_id"].eqNullSafe(right["k_id"]) & (left["k_text"] == right["k_text"]) & (left[at] == right[at])
+def _with_rank(rows: DataFrame, level: DataFrame, at: Column, name: str) -> DataFrame:
+    """Rows with the rank of the suffix at another line of their document, where it has one."""
+    ranks = level.select(
+        F.col("k_id").alias("of_id"), F.col("k_text").alias("of_text"), F.col("i").alias("of_line"), F.col("rank").alias(name)
+    )
+    same = F.col("k_id").eqNullSafe(F.col("of_id")) & (F.col("k_text") == F.col("of_text")) & (at == F.col("of_line"))
+    return rows.join(ranks, same).drop("of_id", "of_text", "of_line")
 
 
 def line_deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:

@@ -144,11 +144,10 @@ class Block:
     def __init__(self, cosine: float):
         self.cosine = cosine
 
-    def __call__(self, key, visitors: pa.Table, members: pa.Table) -> pa.Table:
+    def compare(self, visitors: pa.Table, members: pa.Table) -> pa.Table:
         empty = pa.table({"id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "to": pa.array([], pa.int64())})
         if not visitors.num_rows or not members.num_rows:
             return empty
-        cell = key[2].as_py()
         x, y = (unit_rows(np.array(side.column("vector").to_pylist())) for side in (visitors, members))
         x_id, y_id = visitors.column("id").to_numpy(), members.column("id").to_numpy()
         x_copies, y_copies = visitors.column("copies").to_numpy(), members.column("copies").to_numpy()
@@ -160,7 +159,7 @@ class Block:
         visited = [np.asarray(cells, np.int64) for cells in members.column("visits").to_pylist()]
         width = max(1, len(visited))
         pairs = np.concatenate([cells * width + row for row, cells in enumerate(visited)])
-        x_cell = visitors.column("cell").to_numpy().astype(np.int64)
+        x_cell = visitors.column("own").to_numpy().astype(np.int64)
         alone = ~np.isin(x_cell[at_x] * width + at_y, pairs)
         n_x = np.bincount(at_x, y_copies[at_y], len(x)).astype(np.int64)
         n_y = np.bincount(at_y[alone], x_copies[at_x[alone]], len(y)).astype(np.int64)
@@ -240,21 +239,17 @@ def near_vectors(
     callers = visitors.groupBy("label", "dim", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("caller_blocks"))
     grid = written(sizes.join(callers, ["label", "dim", "cell"]), "cell_sizes")
     where = ["label", "dim", "cell"]
-    salt = F.xxhash64("id")
-    every = F.explode(F.sequence(F.lit(0), F.col("other") - 1))
-    members = placed.join(grid, where).withColumn("other", F.col("caller_blocks"))
-    members = members.select(*where, F.pmod(salt, F.col("member_blocks")).alias("mb"), every.alias("cb"), "id", "copies", "vector", "visits")
-    calls = visitors.join(grid, where).withColumn("other", F.col("member_blocks"))
-    calls = calls.select(*where, F.pmod(salt, F.col("caller_blocks")).alias("cb"), every.alias("mb"), "id", "copies", "vector", F.col("own"))
+    members = _dealt(placed, grid, "member_blocks", "caller_blocks", ["id", "copies", "vector", "visits"])
+    calls = _dealt(visitors, grid, "caller_blocks", "member_blocks", ["id", "copies", "vector", "own"])
+    by = [*where, "member_block", "caller_block"]
     ship_package(spark)
     work = Block(cosine)
-    by = [*where, F.col("mb").cast("int"), F.col("cb").cast("int")]
 
-    def compare(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        return work(key, left.rename_columns(["cell" if name == "own" else name for name in left.column_names]), right)
+    def compare(visitors: pa.Table, members: pa.Table) -> pa.Table:
+        return work.compare(visitors, members)
 
-    calls = calls.select("label", "dim", "cell", "mb", "cb", "id", "copies", "vector", "own")
-    found = _cogrouped(calls, members, by, compare)
+    both = calls.groupBy(*(F.col(f"caller_blocks_{name}") for name in by)).cogroup(members.groupBy(*(F.col(f"member_blocks_{name}") for name in by)))
+    found = both.applyInArrow(compare, "id long, n long, to long")
     found = written(found, "found")
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     linked = written(components(found.filter("to <> id").select(F.col("id").alias("a"), F.col("to").alias("b"))), "components")
@@ -274,5 +269,10 @@ def near_vectors(
     return both.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _cogrouped(calls: DataFrame, members: DataFrame, by: list, compare) -> DataFrame:
-    return calls.groupBy(*by).cogroup(members.groupBy(*by)).applyInArrow(compare, "id long, n long, to long")
+def _dealt(rows: DataFrame, grid: DataFrame, own: str, other: str, columns: list[str]) -> DataFrame:
+    """Rows of cells dealt to the blocks of their side by a hash, once for every block of the other side."""
+    block = {own: F.pmod(F.xxhash64("id"), F.col(own)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.col(other) - 1))}
+    rows = rows.join(grid, ["label", "dim", "cell"])
+    keys = [F.col(name).alias(f"{own}_{name}") for name in ("label", "dim", "cell")]
+    blocks = [block[f"{side}_blocks"].alias(f"{own}_{side}_block") for side in ("member", "caller")]
+    return rows.select(*keys, *blocks, *(F.col(name).alias(name) for name in columns))

@@ -133,7 +133,7 @@ gone AS (
   SELECT DISTINCT u.doc_id, u.pos FROM marked m JOIN units u ON u.doc_id = m.doc_id AND u.i BETWEEN m.first AND m.last WHERE copy > 1),
 rest AS (
   SELECT p.doc_id, string_agg(p.part, '' ORDER BY p.pos) AS text FROM parts p
-  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = p.doc_id AND g.at = p.pos) GROUP BY p.doc_id)
+  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = p.doc_id AND g.pos = p.pos) GROUP BY p.doc_id)
 SELECT d.doc_id, CASE WHEN k.n IS NULL THEN d.text ELSE coalesce(r.text, '') END AS text,
   coalesce((SELECT count(*) FROM units u WHERE u.doc_id = d.doc_id), 0) AS {words}, coalesce(k.n, 0) AS n_removed
 FROM documents d LEFT JOIN rest r USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1) k USING (doc_id)

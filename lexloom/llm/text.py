@@ -96,6 +96,3 @@ def row_key(id_column: str = "doc_id", text_column: str = "text") -> list[Column
     """Names a row by its id and text, for tables where an id may be null or repeated; rows alike in both are one."""
     return [F.col(id_column).alias("k_id"), F.xxhash64(text_column).alias("k_text")]
 
-
-def same_key(left: DataFrame, right: DataFrame) -> Column:
-    return left["k_id"].eqNullSafe(right["k_id"]) & (left["k_text"] == right["k_text"])
