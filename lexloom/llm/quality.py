@@ -21,7 +21,7 @@ SURE = 0.97
 CALIBRATION_SHARE = 0.25
 #: Documents below this probability of being good are rejected.
 ACCEPT_FROM = 0.5
-EPOCHS, BATCH, RATE, DECAY = 8, 128, 0.5, 1e-5
+EPOCHS, STEPS, BATCH, RATE, DECAY = 8, 400, 128, 0.5, 1e-5
 
 UPPER = np.zeros(256, bool)
 UPPER[65:91] = True
@@ -34,8 +34,9 @@ BLANK = np.zeros(256, bool)
 BLANK[[32, *range(9, 14)]] = True
 
 
-def _bin(value: float, steps: int) -> int:
-    return min(steps, int(value * steps))
+def _magnitude(share: float) -> int:
+    """A share as one of ten magnitudes, from below 1/256 to all."""
+    return int(share * 256).bit_length()
 
 
 def _mark(known: WordHashes, name: str, value: object) -> int:
@@ -67,11 +68,11 @@ class Views:
         sums = np.bincount(kinds, minlength=256)
         filled = max(1, len(kinds) - int(sums[BLANK].sum()))
         shares = {
-            "same": _bin(float((hashes[1:] == hashes[:-1]).mean()) if len(hashes) > 1 else 0.0, 20),
-            "distinct": _bin(len(np.unique(hashes)) / n, 10),
-            "capitals": _bin(sums[UPPER].sum() / filled, 20),
-            "digits": _bin(sums[DIGIT].sum() / filled, 20),
-            "signs": _bin((filled - sums[LETTER].sum() - sums[DIGIT].sum()) / filled, 40),
+            "same": _magnitude(float((hashes[1:] == hashes[:-1]).mean()) if len(hashes) > 1 else 0.0),
+            "distinct": _magnitude(len(np.unique(hashes)) / n),
+            "capitals": _magnitude(sums[UPPER].sum() / filled),
+            "digits": _magnitude(sums[DIGIT].sum() / filled),
+            "signs": _magnitude((filled - sums[LETTER].sum() - sums[DIGIT].sum()) / filled),
             "length": min(20, filled // n),
         }
         marks = np.array([_mark(known, name, value) for name, value in shares.items()], np.uint64) >> np.uint64(64 - TEXT_BITS)
@@ -135,7 +136,8 @@ class Logistic:
         random, size = np.random.default_rng(seed), len(self.weights)
         self.weights, self.bias = np.zeros(size), 0.0
         squares, bias_square = np.full(size, 1e-6), 1e-6
-        for _ in range(EPOCHS):
+        # Few rows are gone over more often.
+        for _ in range(max(EPOCHS, STEPS * BATCH // max(1, len(picked)))):
             order = random.permutation(len(picked))
             for start in range(0, len(order), BATCH):
                 chosen = order[start : start + BATCH]
