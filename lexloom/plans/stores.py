@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import is_localhost_url, raw_object_key
@@ -24,6 +22,8 @@ from lexloom.sources import events as messages
 from lexloom.sources.tables import table
 
 SENDER = "15550001111"
+#: Length of the vectors in the given table.
+EMBEDDING_DIM = 64
 
 DOCUMENT_CHUNKS = """
 WITH doc_lines AS (
@@ -205,25 +205,32 @@ def _changed_vectors(spark, sf):
 
 
 def vector_upsert(spark, sf):
-    """Every vector written again in reverse; it wins where its label gives it the later sequence number."""
+    """Every vector written to the table, then in reverse where its label gives it the later sequence number."""
     base, changes = _changed_vectors(spark, sf)
-    stored = upsert(base, changes, ["id"], ["seq"])
+    vectors = VectorTable(spark, work_path(spark, "vectors"), EMBEDDING_DIM)
+    vectors.init()
+    vectors.upsert(base, 0)
+    vectors.upsert(changes.filter("seq > 5"), 1)
+    numbers = upsert(base.select("id", "seq"), changes.select("id", "seq"), ["id"], ["seq"])
+    stored = vectors.read().join(numbers.withColumn("id", F.col("id").cast("string")), "id")
     first = F.get("vector", F.lit(0))
     last = F.element_at("vector", -1)
     return stored.select(
-        "id", "seq", F.size("vector").alias("dim"), first.cast("double").alias("first"), last.cast("double").alias("last")
+        F.col("id").cast("long").alias("id"), "seq", F.size("vector").alias("dim"), first.alias("first"), last.alias("last")
     )
 
 
 def vector_table_init(spark, sf):
-    """The vector table made twice (the second call does nothing) and filled from embeddings."""
-    vectors = VectorTable(spark, f"vectors_{uuid.uuid4().hex}", work_path(spark, "vectors"))
+    """The vector table made, filled from embeddings, and opened again, which neither empties nor hides it."""
+    path = work_path(spark, "vectors")
+    vectors = VectorTable(spark, path, EMBEDDING_DIM)
     vectors.init()
     vectors.init()
     rows = table(spark, sf, "embeddings")
     vectors.upsert(rows.select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector")), batch=0)
-    vectors.init()
-    return vectors.read().select("id", F.size("vector").alias("dim"))
+    again = VectorTable(spark, path, EMBEDDING_DIM)
+    again.init()
+    return again.read().select("id", F.size("vector").alias("dim"))
 
 
 def full_refresh(spark, sf):

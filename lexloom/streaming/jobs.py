@@ -1,7 +1,8 @@
 """The batch functions over arriving rows: file streams in, idempotent batch folders out.
 
-Every sink writes one folder per batch number and overwrites it, so a batch that runs again after a failure changes
-nothing; readers take the latest row of each key. A batch is marked done only after its rows are stored.
+Every sink writes one folder per writer and batch number and overwrites it, so a batch that runs again after a failure
+changes nothing, and a stream with a fresh checkpoint deletes nothing; readers take the latest row of each key. A batch is
+marked done only after its rows are stored.
 """
 
 from __future__ import annotations
@@ -13,16 +14,17 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.text import raw_object_key
 from lexloom.operators import answer as an
+from lexloom.operators.batches import Batch, batch_path, read_latest, write_batch, writer_of
 from lexloom.operators.chunk import document_chunks, statute_chunks
 from lexloom.operators.embed import Embedder, embed
 from lexloom.operators.extract import frontier_links, quarantine, scrape
 from lexloom.operators.frontier import fetch_outcome
-from lexloom.operators.store import latest_per_key, newest_batches
+from lexloom.operators.store import latest_per_key
 from lexloom.operators.vector_table import VectorTable
 from lexloom.sources import events as messages
 from lexloom.sources.tables import spread
 
-BatchSink = Callable[[DataFrame, int], None]
+BatchSink = Callable[[DataFrame, Batch | int], None]
 
 
 def file_stream(spark: SparkSession, folder: str, name: str | None = None, files_per_batch: int | None = None) -> DataFrame:
@@ -38,8 +40,13 @@ def file_stream(spark: SparkSession, folder: str, name: str | None = None, files
 
 def run_batches(stream: DataFrame, sink: BatchSink, checkpoint: str) -> None:
     """Feeds everything that has arrived to the sink, batch by batch, and stops."""
+    writer = writer_of(stream.sparkSession, checkpoint)
+
+    def named(rows: DataFrame, number: int) -> None:
+        sink(rows, Batch(writer, number))
+
     query = (
-        stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        stream.writeStream.foreachBatch(named).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
 
@@ -56,24 +63,16 @@ def run_append(stream: DataFrame, path: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def write_batch(rows: DataFrame, path: str, batch: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
-
-
-def read_latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    return newest_batches(spark.read.parquet(path), keys).drop("batch")
-
-
 def fetch_sink(out: str) -> BatchSink:
     """Fetched pages (url, html, status, fetched_at): good ones are stored by key and only then marked seen; others retry."""
 
-    def sink(fetched: DataFrame, batch: int) -> None:
+    def sink(fetched: DataFrame, batch: Batch | int) -> None:
         outcome = fetch_outcome(F.col("status"))
         good = fetched.filter(outcome == "stored").select(
             raw_object_key(F.col("url")).alias("object_key"), "url", "html", "fetched_at"
         )
         write_batch(latest_per_key(good, ["object_key"], ["fetched_at", "html"]), f"{out}/pages", batch)
-        stored = fetched.sparkSession.read.parquet(f"{out}/pages/batch={batch}")
+        stored = fetched.sparkSession.read.parquet(batch_path(f"{out}/pages", batch))
         write_batch(stored.select("url"), f"{out}/seen", batch)
         write_batch(fetched.filter(outcome == "retry").select("url", "status").distinct(), f"{out}/retry", batch)
 
@@ -83,7 +82,7 @@ def fetch_sink(out: str) -> BatchSink:
 def scrape_sink(out: str) -> BatchSink:
     """Raw pages to chunks, links and quarantine, all from one reading of each page."""
 
-    def sink(pages: DataFrame, batch: int) -> None:
+    def sink(pages: DataFrame, batch: Batch | int) -> None:
         scraped = scrape(spread(pages, "url")).persist()
         write_batch(latest_per_key(statute_chunks(scraped), ["id"], ["url", "pos"]), f"{out}/chunks", batch)
         write_batch(frontier_links(scraped), f"{out}/links", batch)
@@ -96,7 +95,7 @@ def scrape_sink(out: str) -> BatchSink:
 def chunk_sink(out: str) -> BatchSink:
     """Documents to chunks."""
 
-    def sink(documents: DataFrame, batch: int) -> None:
+    def sink(documents: DataFrame, batch: Batch | int) -> None:
         write_batch(document_chunks(documents), out, batch)
 
     return sink
@@ -106,7 +105,7 @@ def index_sink(vectors: VectorTable, embedder: Embedder) -> BatchSink:
     """Documents to chunks to vectors in the vector table."""
     vectors.init()
 
-    def sink(documents: DataFrame, batch: int) -> None:
+    def sink(documents: DataFrame, batch: Batch | int) -> None:
         chunks = document_chunks(spread(documents, "doc_id"))
         vectors.upsert(embed(chunks, "id", "body", embedder), batch)
 
@@ -119,7 +118,7 @@ def answer_sink(out: str, index: DataFrame, store: DataFrame, embedder: Embedder
     The index holds stored vectors, so that no batch embeds the chunks again.
     """
 
-    def sink(inbound: DataFrame, batch: int) -> None:
+    def sink(inbound: DataFrame, batch: Batch | int) -> None:
         parsed = inbound.select("id", messages.parsed(F.col("body"), messages.INBOUND).alias("m"))
         good = parsed.filter(F.col("m._bad").isNull()).select(
             F.col("id").alias("prompt_id"),

@@ -3,8 +3,9 @@ import random
 from pyspark.sql import functions as F
 
 from lexloom.operators import frontier as fr
+from lexloom.operators.batches import Batch
 from lexloom.operators.ranking import crawl_schedule
-from lexloom.operators.refresh import full_refresh
+from lexloom.operators.refresh import CrawlState, full_refresh
 from lexloom.operators.store import latest_per_key, lookup, newest_batches, upsert
 from lexloom.operators.vector_table import VectorTable
 from lexloom.session import work_path
@@ -84,13 +85,51 @@ def test_refresh_with_seeds(spark):
 
 
 def test_vector_table(spark):
-    table = VectorTable(spark, "vectors_under_test", work_path(spark, "vectors"))
+    path = work_path(spark, "vectors")
+    table = VectorTable(spark, path, 2)
+    assert table.read().count() == 0
     table.init()
     table.init()
     first = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "id string, vector array<double>")
     table.upsert(first, 0)
     table.upsert(spark.createDataFrame([("b", [1.0, 1.0])], "id string, vector array<double>"), 1)
     table.upsert(first, 0)
-    assert {r.id: r.vector for r in table.read().collect()} == {"a": [1.0, 0.0], "b": [1.0, 1.0]}
+    wanted = {"a": [1.0, 0.0], "b": [1.0, 1.0]}
+    assert {r.id: r.vector for r in table.read().collect()} == wanted
     asked = spark.createDataFrame([("q", [1.0, 0.9])], "query_id string, vector array<double>")
     assert [r.id for r in table.search(asked, 2, 1).collect()] == ["b"]
+    again = VectorTable(spark, path, 2)
+    again.init()
+    assert {r.id: r.vector for r in again.read().collect()} == wanted
+    smaller = again.compacted(work_path(spark, "vectors"))
+    smaller.upsert(spark.createDataFrame([("a", [0.0, 3.0])], "id string, vector array<double>"), 0)
+    assert {r.id: r.vector for r in smaller.read().collect()} == wanted | {"a": [0.0, 3.0]}
+
+
+def test_two_writers_of_batch_0_keep_both(spark):
+    table = VectorTable(spark, work_path(spark, "vectors"), 2)
+    kind = "id string, vector array<double>"
+    table.upsert(spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], kind), Batch("one", 0))
+    table.upsert(spark.createDataFrame([("b", [5.0, 1.0]), ("c", [1.0, 1.0])], kind), Batch("two", 0))
+    table.upsert(spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], kind), Batch("one", 0))
+    assert {r.id: r.vector[0] for r in table.read().collect()} == {"a": 1.0, "b": 5.0, "c": 1.0}
+
+
+def test_vectors_that_cannot_be_indexed_are_kept_aside(spark):
+    table = VectorTable(spark, work_path(spark, "vectors"), 2)
+    rows = [("a", [1.0, 0.0]), ("b", [0.0, 0.0]), ("c", [1.0]), ("d", None), ("e", [float("nan"), 1.0])]
+    table.upsert(spark.createDataFrame(rows, "id string, vector array<double>"), 0)
+    assert [r.id for r in table.read().collect()] == ["a"]
+    refused = {r.id: r.error_code for r in table.refused().collect()}
+    assert refused == {"b": "zero_vector", "c": "wrong_dimension", "d": "no_vector", "e": "bad_element"}
+
+
+def test_refreshed_state_is_found_again(spark):
+    folder = work_path(spark, "state")
+    urls = [spark.createDataFrame([(name,)], "url string") for name in "abc"]
+    CrawlState(spark, folder).start(urls[0], urls[0])
+    CrawlState(spark, folder).refresh(urls[1])
+    state = CrawlState(spark, folder)
+    assert state.generation == 1 and state.read("seen").count() == 0 and state.read("frontier").first().url == "b"
+    state.refresh(urls[2])
+    assert CrawlState(spark, folder).read("frontier").first().url == "c" and state.generation == 2
