@@ -5,9 +5,9 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -21,7 +21,7 @@ from lexloom.session import ship_package
 SEQUENCE_LENGTH, END_ID = 2048, 0
 #: Bins open at a time in one packer, and documents dealt to one packer on average.
 OPEN_BINS, DOCUMENTS_PER_PACKER = 2048, 65_536
-KNOWN_WORDS, KNOWN_IDS = 500_000, 4_000_000
+KNOWN_WORDS, KNOWN_IDS = 800_000, 8_000_000
 #: A run of letters that are one code point with and without capitals, and signs after it; no apostrophe, which can start a part.
 PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\x9e\xa0-\xb6\xb8-\xbe])+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -32,6 +32,19 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Numbers(dict):
+    """Numbers things in the order in which they are first asked for, and lists those that are new."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = len(self)
+        self.new.append(word)
+        return found
+
+
 class WordTokens:
     """Token ids of whole texts, put together from the ids of their words.
 
@@ -45,44 +58,53 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._parts: dict[str, list[int]] = {}
+        self._model = self._tokenizer.model
+        self._parts: dict[str, bytes] = {}
         self._forget()
 
     def _forget(self) -> None:
-        self._at: dict[bytes, int] = {}
+        self._at = Numbers()
         self._starts, self._lengths, self._ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _ids_of(self, words: list[bytes]) -> list[list[int]]:
-        known, split = self._parts, []
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-        for word in words:
-            plain = PLAIN.fullmatch(word)
-            split.append((plain[1].decode().lower(), plain[2].decode()) if plain else (word.decode("utf-8", "replace"),))
-        if new := list({part: None for word in split for part in word if part not in known}):
-            for part, found in zip(new, self._tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[part] = found.ids
-        return [known[word[0]] + known[word[1]] if len(word) > 1 else known[word[0]] for word in split]
+    def _part(self, part: str) -> bytes:
+        """Ids, as bytes, of a run of letters without capitals or of signs. For ASCII the model needs no preparation."""
+        found = self._parts.get(part)
+        if found is None:
+            if part.isascii():
+                ids = [token.id for token in self._model.tokenize(part)]
+            else:
+                ids = self._tokenizer.encode(part, add_special_tokens=False).ids
+            found = self._parts[part] = array("I", ids).tobytes()
+        return found
+
+    def _word(self, word: bytes) -> bytes:
+        plain = PLAIN.fullmatch(word)
+        if not plain:
+            return array("I", self._tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+        letters = self._part(plain[1].decode().lower())
+        return letters + self._part(plain[2].decode()) if plain[2] else letters
 
     def _learn(self, words: list[bytes]) -> None:
-        ids = self._ids_of(words)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        self._at.update(zip(words, range(len(self._at), len(self._at) + len(words)), strict=True))
+        if len(self._parts) > KNOWN_WORDS:
+            self._parts.clear()
+        ids = list(map(self._word, words))
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         self._starts = np.concatenate([self._starts, len(self._ids) + np.cumsum(lengths) - lengths])
         self._lengths = np.concatenate([self._lengths, lengths])
-        self._ids = np.concatenate([self._ids, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))])
+        self._ids = np.concatenate([self._ids, np.frombuffer(b"".join(ids), np.uint32)])
 
     def __call__(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """The ids of each text. Words that are new are learned together for a whole batch."""
-        words = [(text or b"").split() for text in texts]
         if len(self._at) > KNOWN_WORDS or len(self._ids) > KNOWN_IDS:
             self._forget()
-        if new := list({word: None for each in words for word in each if word not in self._at}):
-            self._learn(new)
-        return [self._put_together(each) for each in words]
+        words = [(text or b"").split() for text in texts]
+        numbers = [np.fromiter(map(self._at.__getitem__, each), np.int64, len(each)) for each in words]
+        if self._at.new:
+            self._learn(self._at.new)
+            self._at.new = []
+        return [self._put_together(each) for each in numbers]
 
-    def _put_together(self, words: list[bytes]) -> np.ndarray:
-        at = np.fromiter(map(self._at.__getitem__, words), np.int64, len(words))
+    def _put_together(self, at: np.ndarray) -> np.ndarray:
         lengths = self._lengths[at]
         ends = np.cumsum(lengths)
         places = np.repeat(self._starts[at] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
