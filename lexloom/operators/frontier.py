@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.operators.extract import frontier_links, scrape
-from lexloom.operators.store import BROADCAST_ROWS
+from lexloom.operators.store import BROADCAST_ROWS, lookup
 from lexloom.params import MAX_RECEIVES, SEED_URL
-from lexloom.session import checkpointed, written
+from lexloom.session import work_path, written
 
-COMPACT_EVERY = 16
+
+LEVEL = "url string, depth int"
+#: Edges followed in one round.
+HOPS = 4
 
 
 def not_among(given: DataFrame, known: DataFrame, key: str) -> DataFrame:
@@ -39,38 +42,56 @@ def seeds_or_default(spark: SparkSession, seeds: DataFrame, default: str = SEED_
     return seeds.select("url") if not seeds.isEmpty() else fallback
 
 
-def crawl_closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+def crawl_closure(edges: DataFrame, seeds: DataFrame, hops: int = HOPS) -> DataFrame:
     """(url, depth) of everything reachable from the seeds over (src, dst) edges, breadth first.
 
-    Each round joins only the newest level, drops what is already visited and is written out, so a lost executor
-    costs a round's rereading and the plan stays short. A small level goes to the edges, which then stay in place.
+    A round follows the edges `hops` times from the newest level and keeps each new URL's least depth, which is exact:
+    the shortest way to a URL that is not yet visited leads over that level. What each round finds is stored under one
+    folder, which is all that was visited, so a lost executor costs a round's rereading, the plan stays as short as in
+    the first round, and deep graphs take fewer rounds. Spark knows the sizes of the stored tables: it sends a small level
+    to the edges, which then stay in place. Once many are visited, they are first cut down to the few that the round has
+    reached, where they lie, and so are read but not moved.
     """
-    edges = written(edges.select("src", "dst").distinct())
-    level = checkpointed(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
-    visited, depth, n = level, 0, level.count()
+    spark = edges.sparkSession
+    edges = written(edges.select("src", "dst").distinct(), "edges")
+    folder, number, depth = work_path(spark, "levels"), 0, 0
+    n = total = _store_round(seeds.select("url").distinct().withColumn("depth", F.lit(0)), folder, number)
     while n:
-        depth += 1
-        sources = level.select(F.col("url").alias("src"))
-        sources = F.broadcast(sources) if n <= BROADCAST_ROWS else sources
-        reached = edges.join(sources, "src").select(F.col("dst").alias("url"))
-        level = checkpointed(not_among(reached, visited, "url").withColumn("depth", F.lit(depth)))
-        n = level.count()
-        visited = visited.unionByName(level)
-        if depth % COMPACT_EVERY == 0:
-            visited = checkpointed(visited.repartition("url"))
-    return visited
+        level = spark.read.schema(LEVEL).parquet(f"{folder}/round={number}").filter(F.col("depth") == depth)
+        visited = spark.read.schema(LEVEL).parquet(folder).select("url")
+        found, reached = None, level.select("url")
+        for hop in range(1, hops + 1):
+            sources = reached.withColumnRenamed("url", "src")
+            reached = edges.join(sources, "src").select(F.col("dst").alias("url")).distinct()
+            here = reached.withColumn("depth", F.lit(depth + hop))
+            found = here if found is None else found.unionByName(here)
+        found = found.groupBy("url").agg(F.min("depth").alias("depth"))
+        if total > BROADCAST_ROWS:
+            found = written(found, "reached")
+            visited = visited.join(found.select("url"), "url", "left_semi")
+        number, depth = number + 1, depth + hops
+        n = _store_round(found.join(visited, "url", "left_anti"), folder, number)
+        total += n
+    return spark.read.schema(LEVEL).parquet(folder).select("url", "depth")
+
+
+def _store_round(found: DataFrame, folder: str, number: int) -> int:
+    counted = Observation()
+    found.observe(counted, F.count(F.lit(1)).alias("n")).write.parquet(f"{folder}/round={number}")
+    return counted.get["n"]
 
 
 def populate(snapshot: DataFrame, seeds: DataFrame) -> DataFrame:
     """The crawl from seeds over a snapshot of fetched pages (url, html): (url, depth, outcome, error_code, statute).
 
     Links of good index pages feed the frontier until nothing new turns up; a URL that is not in the snapshot has outcome
-    `not_fetched`. All pages are read once, before the rounds, which then move only URLs.
+    `not_fetched`. All pages are read once, before the rounds, which then move only URLs; the scraped pages are cut down to
+    those reached before they are joined.
     """
     scraped = written(scrape(snapshot), "scraped")
     edges = frontier_links(scraped).select(F.col("url").alias("src"), F.col("link").alias("dst"))
     reached = crawl_closure(edges, seeds)
-    found = reached.join(scraped.select("url", "outcome", "error_code", "statute"), "url", "left")
+    found = lookup(reached, scraped.select("url", "outcome", "error_code", "statute"), "url").drop("missing")
     return found.withColumn("outcome", F.coalesce("outcome", F.lit("not_fetched")))
 
 

@@ -38,10 +38,10 @@ def frontier_distinct(spark, sf):
 
 
 def crawl_closure(spark, sf):
-    """Everything reachable from page 0 when page p links to pages 2p+1 and 2p+2, modulo the number of pages."""
+    """Everything reachable from page 0 when page p links to pages 2p+1 and 3p+2, modulo the number of pages."""
     pages = table(spark, sf, "pages").select("page_id", "url")
     n = pages.count()
-    targets = F.explode(F.array((2 * F.col("page_id") + 1) % n, (2 * F.col("page_id") + 2) % n))
+    targets = F.explode(F.array((2 * F.col("page_id") + 1) % n, (3 * F.col("page_id") + 2) % n))
     by_id = pages.select(F.col("page_id").alias("dst_id"), F.col("url").alias("dst"))
     edges = pages.select(F.col("url").alias("src"), targets.alias("dst_id")).join(by_id, "dst_id").select("src", "dst")
     return fr.crawl_closure(edges, pages.filter("page_id = 0"))
@@ -145,9 +145,9 @@ ORACLES = {
     "seen_merge": PAGE_LINKS + "SELECT url FROM pages UNION SELECT href AS url FROM page_links",
     "frontier_distinct": PAGE_LINKS + "SELECT DISTINCT href AS url FROM page_links",
     "crawl_closure": """WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages),
-      edges AS (SELECT page_id AS src, unnest([(2 * page_id + 1) % n, (2 * page_id + 2) % n]) AS dst FROM pages, n),
+      edges AS (SELECT page_id AS src, unnest([(2 * page_id + 1) % n, (3 * page_id + 2) % n]) AS dst FROM pages, n),
       walk AS (SELECT 0::BIGINT AS page_id, 0 AS depth
-        UNION SELECT dst, depth + 1 FROM walk JOIN edges ON src = walk.page_id WHERE depth < 40)
+        UNION SELECT dst, depth + 1 FROM walk JOIN edges ON src = walk.page_id, n WHERE depth < n)
       SELECT url, min(depth) AS depth FROM walk JOIN pages USING (page_id) GROUP BY 1""",
     "crawl_population": RENDERED.replace("WITH sec", "WITH RECURSIVE sec", 1)
     + """, walk AS (SELECT 'https://www.revisor.mn.gov/statutes/part/0' AS url, 0 AS depth

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import is_localhost_url, raw_object_key
@@ -172,7 +174,7 @@ def seed_frontier(spark, sf):
 def retention_filter(spark, sf):
     """Events still kept as pages, dead letters and messages, counted back from the newest event."""
     events = table(spark, sf, "events")
-    as_of = events.agg(F.max("ts")).first()[0]
+    as_of = events.agg(F.max("ts")).first()[0] or datetime.min.replace(year=1970)
     days = max(PAGE_RETENTION_DAYS, DEAD_LETTER_RETENTION_DAYS, MESSAGE_RETENTION_DAYS)
     ts = F.col("ts")
 

@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # The seen set of a stream has no expiry; RocksDB keeps it on disk instead of on the heap.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # Pages and vectors are wide rows, so Arrow batches are kept short.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
@@ -44,11 +46,9 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local session without the setting gets a folder of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
     known = spark.sparkContext.getCheckpointDir()
-    if known:
-        return os.path.dirname(known.rstrip("/"))
+    if named or known:
+        return named or os.path.dirname(known.rstrip("/"))
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     made = tempfile.mkdtemp(prefix="lexloom-")
