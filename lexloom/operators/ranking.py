@@ -6,17 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.params import MAX_CRAWL_WORKERS
-from lexloom.session import written
+from lexloom.session import written, written_counted
+
+ROWS_PER_RANGE = 1_000_000
 
 
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     """Adds `rn` (1, 2, ...) in the given order, which no two rows share, and `part`, the range the row fell into.
 
-    Ranges are cut once and written out, since they are read twice: for their sizes and for their rows. Only the sizes,
-    one row per range, are added up in one place.
+    Rows are stored and counted first: ranges are cut from a sample, which would compute them twice, and their number
+    follows that of the rows, so that none grows with the input. The ranges are written out too, since they are read
+    twice: for their sizes and for their rows. Only the sizes, one row per range, are added up in one place.
     """
-    spread = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
-    spread = written(spread)
+    rows, n = written_counted(rows, "unordered")
+    ranges = -(-n // ROWS_PER_RANGE)
+    if ranges > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        spread = rows.repartitionByRange(ranges, *order)
+    else:
+        spread = rows.repartitionByRange(*order)
+    spread = written(spread.withColumn("part", F.spark_partition_id()), "ranges")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         spread.groupBy("part")

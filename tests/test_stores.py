@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from lexloom.operators import frontier as fr
+from lexloom.operators import ranking
 from lexloom.operators.batches import Batch
 from lexloom.operators.ranking import crawl_schedule
 from lexloom.operators.refresh import CrawlState, full_refresh
@@ -72,6 +73,16 @@ def test_schedule_over_several_ranges(spark):
     assert {r.page_id: (r.rn, r.worker, r.start) for r in found.collect()} == expected
 
 
+def test_numbers_do_not_depend_on_the_ranges(spark, monkeypatch):
+    rows = spark.range(0, 3000, 1, 7).select((F.col("id") * 7919 % 3001).alias("k"), (F.col("id") % 2 == 0).alias("even"))
+    wanted = {k: rn for rn, k in enumerate(sorted(i * 7919 % 3001 for i in range(3000)), 1)}
+    for limit in (1_000_000, 50):
+        monkeypatch.setattr(ranking, "ROWS_PER_RANGE", limit)
+        found = ranking.numbered(rows, ["k"]).collect()
+        assert {r.k: r.rn for r in found} == wanted
+    assert len({r.part for r in found}) > 8 and ranking.numbered(rows.limit(0), ["k"]).count() == 0
+
+
 def test_delivery_states(spark):
     frame = spark.createDataFrame([(0,), (1,), (2,), (9,)], "n int")
     assert [r[0] for r in frame.select(fr.delivery_state(F.col("n"))).collect()] == ["done", "retry", "dead_letter", "dead_letter"]
