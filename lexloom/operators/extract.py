@@ -38,50 +38,27 @@ SUBDIVISION_MARKS = pa.struct(
         ("cells", pa.list_(pa.list_(pa.string()))),
     ]
 )
-STATUTE_MARKERS = pa.schema(
-    [
-        ("toc_heading", pa.string()),
-        ("has_chapter_title", pa.bool_()),
-        ("toc_rows", pa.list_(TOC_ROW)),
-        ("has_section", pa.bool_()),
-        ("h1", pa.string()),
-        ("paragraph", pa.string()),
-        ("subds", pa.list_(SUBDIVISION_MARKS)),
-    ]
-)
-OUTLINE_MARKERS = pa.schema(
-    [("h1", pa.string()), ("links", pa.list_(pa.string())), ("paragraphs", pa.list_(pa.string()))]
-)
-
 Emitter = Callable[[Page], dict]
+Markers = dict[str, tuple[pa.DataType, Callable[[Page], object]]]
 
 
-def statute_markers(page: Page) -> dict:
-    """What the classifier, the link rules and the statute rules look at."""
-    section = next(iter(page.having("div", "class", "section")), -1)
-    marks = {
-        "toc_heading": page.text(_toc_heading(page)),
-        "has_chapter_title": bool(page.having("h2", "class", "chapter_title")),
-        "toc_rows": _toc_rows(page),
-        "has_section": section >= 0,
-        "h1": None,
-        "paragraph": None,
-        "subds": [],
-    }
-    if section >= 0:
-        marks["h1"] = page.text(page.first("h1", section))
-        marks["paragraph"] = page.text(page.first("p", section))
-        marks["subds"] = [_subdivision_marks(page, div) for div in page.having("div", "class", "subd", section)]
-    return marks
+def _section(page: Page) -> int:
+    return next(iter(page.having("div", "class", "section")), -1)
+
 
+def _in_section(page: Page, tag: str) -> str | None:
+    section = _section(page)
+    return page.text(page.first(tag, section)) if section >= 0 else None
 
-def outline_markers(page: Page) -> dict:
+
+def _subdivisions(page: Page) -> list[dict]:
+    section = _section(page)
+    return [_subdivision_marks(page, div) for div in page.having("div", "class", "subd", section)] if section >= 0 else []
+
+
+def _links(page: Page) -> list[str]:
     links = (page.attribute(node, "href") for node in page.find("a"))
-    return {
-        "h1": page.text(page.first("h1")),
-        "links": [link for link in links if link],
-        "paragraphs": [page.text(node) for node in page.find("p")],
-    }
+    return [link for link in links if link]
 
 
 def _toc_heading(page: Page) -> int:
@@ -137,6 +114,34 @@ def _subdivision_marks(page: Page, div: int) -> dict:
     }
 
 
+# What tells the kind of a page.
+KIND_MARKERS: Markers = {
+    "toc_heading": (pa.string(), lambda page: page.text(_toc_heading(page))),
+    "has_chapter_title": (pa.bool_(), lambda page: bool(page.having("h2", "class", "chapter_title"))),
+    "has_section": (pa.bool_(), lambda page: _section(page) >= 0),
+}
+# What the link rules look at.
+ROW_MARKERS: Markers = {"toc_rows": (pa.list_(TOC_ROW), _toc_rows)}
+# What the statute rules look at.
+STATUTE_MARKERS: Markers = {
+    "h1": (pa.string(), lambda page: _in_section(page, "h1")),
+    "paragraph": (pa.string(), lambda page: _in_section(page, "p")),
+    "subds": (pa.list_(SUBDIVISION_MARKS), _subdivisions),
+}
+OUTLINE_MARKERS: Markers = {
+    "h1": (pa.string(), lambda page: page.text(page.first("h1"))),
+    "links": (pa.list_(pa.string()), _links),
+    "paragraphs": (pa.list_(pa.string()), lambda page: [page.text(node) for node in page.find("p")]),
+}
+
+
+def emitter(markers: Markers) -> tuple[Emitter, pa.Schema]:
+    """What read_pages needs to emit these markers and no others; Spark cannot leave any out inside the Python stage."""
+    functions = {name: function for name, (_, function) in markers.items()}
+    schema = pa.schema([(name, kind) for name, (kind, _) in markers.items()])
+    return lambda page: {name: function(page) for name, function in functions.items()}, schema
+
+
 def read_pages(pages: DataFrame, emit: Emitter, markers: pa.Schema, rows_per_batch: int = 256) -> DataFrame:
     """(url, html) rows to (url, markers) rows; the plug point for another extractor is (emit, markers)."""
     ship_package(pages.sparkSession)
@@ -153,19 +158,20 @@ def read_pages(pages: DataFrame, emit: Emitter, markers: pa.Schema, rows_per_bat
     return pages.select("url", "html").mapInArrow(run, from_arrow_schema(schema))
 
 
-def page_outline(pages: DataFrame) -> DataFrame:
-    """Any page: first heading, links in order, paragraphs in order."""
-    return read_pages(pages, outline_markers, OUTLINE_MARKERS)
+def page_outline(pages: DataFrame, wanted: tuple[str, ...] = tuple(OUTLINE_MARKERS)) -> DataFrame:
+    """Any page: first heading, links in order, paragraphs in order, or some of these."""
+    return read_pages(pages, *emitter({name: OUTLINE_MARKERS[name] for name in wanted}))
 
 
 def page_links(pages: DataFrame) -> DataFrame:
     """(url, pos, href) for every link of every page."""
-    return page_outline(pages).select("url", F.posexplode("links").alias("pos", "href"))
+    return page_outline(pages, ("links",)).select("url", F.posexplode("links").alias("pos", "href"))
 
 
-def statute_pages(pages: DataFrame) -> DataFrame:
-    """Markers with the page kind and, where the kind is unknown, its error code."""
-    marks = read_pages(pages, statute_markers, STATUTE_MARKERS)
+def statute_pages(pages: DataFrame, more: Markers | None = None) -> DataFrame:
+    """The page kind and, where the kind is unknown, its error code; with the markers that are asked for, or all."""
+    more = ROW_MARKERS | STATUTE_MARKERS if more is None else more
+    marks = read_pages(pages, *emitter(KIND_MARKERS | more))
     heading = trim_space(F.col("toc_heading"))
     kind = (
         F.when(heading == TOC_HEADING, KIND_CHAPTERS)

@@ -117,7 +117,8 @@ WITH page_links AS (
 
 
 def _statutes(spark, sf):
-    return ex.statute_pages(rendered_pages(spark, sf)).filter(F.col("page_kind") == KIND_STATUTE)
+    marked = ex.statute_pages(rendered_pages(spark, sf), ex.STATUTE_MARKERS)
+    return marked.filter(F.col("page_kind") == KIND_STATUTE)
 
 
 def _parts(spark, sf):
@@ -129,7 +130,7 @@ def _parts(spark, sf):
 
 
 def _rows(spark, sf):
-    marked = ex.checked_rows(ex.statute_pages(rendered_pages(spark, sf)))
+    marked = ex.checked_rows(ex.statute_pages(rendered_pages(spark, sf), ex.ROW_MARKERS))
     return marked.filter("page_kind in (1, 2, 3)").select("url", F.posexplode("rows").alias("pos", "row")).select(
         "url", "pos", "row.*"
     )
@@ -140,7 +141,7 @@ def _scraped(spark, sf):
 
 
 def page_kind(spark, sf):
-    marked = ex.statute_pages(rendered_pages(spark, sf))
+    marked = ex.statute_pages(rendered_pages(spark, sf), {})
     return marked.select(
         "url", "page_kind", ex.kind_name(F.col("page_kind")).alias("page_kind_name"), F.col("kind_error").alias("error_code")
     )
@@ -212,7 +213,7 @@ def table_to_csv(spark, sf):
 
 
 def page_text(spark, sf):
-    return ex.page_outline(wide_table(spark, sf, "pages", "url")).select("url", F.col("h1").alias("heading_text"))
+    return ex.page_outline(wide_table(spark, sf, "pages", "url"), ("h1",)).select("url", F.col("h1").alias("heading_text"))
 
 
 def scrape_route(spark, sf):
@@ -234,7 +235,7 @@ def page_links(spark, sf):
 
 
 def page_paragraph_count(spark, sf):
-    return ex.page_outline(wide_table(spark, sf, "pages", "url")).select("url", F.size("paragraphs").alias("n_paragraphs"))
+    return ex.page_outline(wide_table(spark, sf, "pages", "url"), ("paragraphs",)).select("url", F.size("paragraphs").alias("n_paragraphs"))
 
 
 def chunk_id(spark, sf):
