@@ -58,7 +58,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path for one run's table, stream checkpoint or sink."""
-    return f"{shared_dir(spark).rstrip('/')}/lexloom/{name}-{uuid.uuid4().hex}"
+    return f"{_work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _work_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/lexloom/{spark.sparkContext.applicationId}"
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Deletes what this application has stored under work paths, once nothing reads its results any more."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(_work_folder(spark))
+    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def written(df: DataFrame, name: str = "rows") -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from lexloom.session import build_session  # noqa: E402
+from lexloom.session import build_session, clear_work  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -24,6 +24,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_work(session)
     session.stop()
 
 
