@@ -82,14 +82,6 @@ def written(df: DataFrame, name: str = "rows") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of rows that a loop goes on from; lighter than a table for many small rounds."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def written_counted(df: DataFrame, name: str = "rows") -> tuple[DataFrame, int]:
     """As written, with the number of rows, taken while they are written."""
     counted = Observation()
