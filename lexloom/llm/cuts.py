@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.text import row_key
@@ -93,13 +92,13 @@ def _cut(text: bytes | None, spans, end: re.Pattern) -> tuple[bytes | None, int,
 
 def replaced(cut: DataFrame, docs: DataFrame, text_column: str, length_column: str | None = None) -> DataFrame:
     """The rows with docs' columns and the new text, without those that lost all their parts."""
-    columns: dict[str, Callable] = {text_column: lambda: F.col("text")}
+    new = {text_column: F.col("text")}
     if length_column in docs.columns:
-        columns[length_column] = lambda: F.length("text").cast(docs.schema[length_column].dataType)
+        new[length_column] = F.length("text").cast(docs.schema[length_column].dataType)
     left = cut.filter("n_removed = 0 or n_removed < n_parts")
-    return left.select(
-        *(
-            (F.when(F.col("n_removed") > 0, columns[name]()).otherwise(F.col("row").getField(name)) if name in columns else F.col("row").getField(name)).alias(name)
-            for name in docs.columns
-        )
-    )
+
+    def column(name: str) -> Column:
+        old = F.col("row").getField(name)
+        return F.when(F.col("n_removed") > 0, new[name]).otherwise(old) if name in new else old
+
+    return left.select(*(column(name).alias(name) for name in docs.columns))

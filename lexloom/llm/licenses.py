@@ -56,7 +56,7 @@ RULES = (
 )
 
 #: Every known sentence has one of these words, so a text without them has no known sentence.
-HINTS = ("licens", "permission", "copyright", "redistribut", "free software", "reserved", "license")
+HINTS = ("licens", "permission", "copyright", "redistribut", "free software", "reserved")
 OTHER, USED = ".", "_"
 #: A sentence ends at . ! ? ; or : before white space, or at a line end.
 SENTENCE_END = r"[.!?;:][\x20\x09-\x0D]+|\n"

@@ -93,7 +93,11 @@ def mixed_documents(docs: DataFrame, text_column: str = "text", source_column: s
     """
     whole = F.struct(*(docs[name] for name in docs.columns))
     marked = docs.select(
-        docs[id_column].alias("id"), F.xxhash64(*docs.columns).alias("mark"), docs[source_column].alias("source"), docs[text_column].alias("text"), whole.alias("row")
+        docs[id_column].alias("id"),
+        F.xxhash64(*docs.columns).alias("mark"),
+        docs[source_column].alias("source"),
+        docs[text_column].alias("text"),
+        whole.alias("row"),
     )
     chosen = mix(marked, [F.col("id"), F.col("mark")], F.col("source"), n_words(F.col("text")))
     chosen = chosen.groupBy("key0", "key1").agg(F.sum("copies").cast("int").alias("copies")).filter("copies > 0")
