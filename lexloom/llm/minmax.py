@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.graph import components
-from lexloom.llm.text import FOLD, SHINGLE_WORDS, WordHashes, as_binary, map_batches, mixed, signed, text_shingles
+from lexloom.llm.text import FOLD, SHINGLE_WORDS, WordHashes, as_binary, lists, map_batches, mixed, signed, text_shingles
 from lexloom.session import written
 
 #: 84 permutations give 168 values: 28 bands of three minima and three maxima. A pair at 0.85 shares no band once in
@@ -71,6 +71,22 @@ class Signatures:
         )
 
 
+class Sets:
+    """The shingles of each text in a batch."""
+
+    def __init__(self, width: int):
+        self.width, self._known = width, None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_known": None}
+
+    def __call__(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        if self._known is None:
+            self._known = WordHashes()
+        found = [signed(text_shingles(text, self._known, self.width)) for text in batch.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column("id"), lists(found, pa.int64())], names=["id", "shingles"])
+
+
 class Overlaps:
     """Share of shingles that two texts have in common, on their whole sets. Sets used lately are kept."""
 
@@ -118,6 +134,13 @@ def overlaps(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return map_batches(rows, Overlaps(width), "a long, b long, n_a long, n_b long, common long", 64)
 
 
+def own_shingles(texts: DataFrame, width: int) -> DataFrame:
+    """(id, own): how many of a text's shingles no other of the texts has; no row for none."""
+    sets = map_batches(texts.select("id", "text"), Sets(width), "id long, shingles array<long>")
+    once = sets.select("id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    return once.filter("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -131,8 +154,10 @@ def near_duplicates(
 
     Texts of equal sets are one class, named by its smallest id, and only classes are compared. In every band's bucket the
     class of the smallest id is compared with the others. Most buckets are then of one component. In the rest, members
-    outside the first one's component are compared with the members of other components, unless sizes or the distances
-    to the bucket's first rule a link out: 1 - resemblance obeys the triangle inequality, so this loses nothing. No
+    outside the first one's component are compared with the members of other components, unless a link is ruled out by
+    what is known of both: their sizes; their distances to the bucket's first, since 1 - resemblance obeys the triangle
+    inequality; or the shingles that no other text of these buckets has, which no two can have in common. These bounds
+    lose nothing, and in a large group of edited copies the last one rules out nearly all pairs that are no links. No
     bucket is cut, and copies are never compared with each other.
 
     Null and empty texts have no shingles and link with nothing. Repeated rows come out as often as they went in. Rows
@@ -174,18 +199,37 @@ def near_duplicates(
     placed = placed.join(named.select(F.col("id").alias("a"), F.col("component").alias("hub_of")), "a", "left")
     placed = placed.select("bucket", "b", "n_b", "far", F.coalesce("of", "b").alias("of"), F.coalesce("hub_of", "a").alias("hub_of"))
     placed = written(placed, "placed")
-    outside = placed.filter("of <> hub_of")
-    inside = placed.join(outside.select("bucket").distinct(), "bucket", "left_semi")
+    outside = placed.filter("of <> hub_of").select("bucket").distinct()
+    inside = written(placed.join(outside, "bucket", "left_semi"), "inside")
+    own = own_shingles(texts.join(inside.select(F.col("b").alias("id")), "id", "left_semi"), width)
+    inside = inside.join(own.withColumnRenamed("id", "b"), "b", "left").withColumn("rest", F.col("n_b") - F.coalesce("own", F.lit(0)))
+    inside = written(inside.filter(F.col("rest") * 100 >= F.col("n_b") * percent), "inside")
+    inside = inside.join(heads.select(F.col("id").alias("b"), "bands"), "b").select(
+        "bucket", F.col("b").alias("id"), F.col("n_b").alias("n"), "far", "of", "rest", "bands", F.expr("of <> hub_of").alias("apart")
+    )
+    left, right = (
+        inside.select("bucket", *(F.col(name).alias(f"{name}_{side}") for name in inside.columns if name != "bucket"))
+        for side in ("a", "b")
+    )
+    rest = F.least("rest_a", "rest_b")
     more = (
-        outside.select("bucket", F.col("b").alias("a"), F.col("n_b").alias("n_a"), F.col("far").alias("far_a"), F.col("of").alias("of_a"))
-        .join(inside.select("bucket", "b", "n_b", "far", "of", F.expr("of <> hub_of").alias("also")), "bucket")
-        .filter("of <> of_a and (not also or a < b)")
+        left.filter("apart_a")
+        .join(right, "bucket")
+        .filter("of_a <> of_b and (not apart_b or id_a < id_b)")
         .filter(could_link(percent))
-        .filter(F.coalesce(F.abs(F.col("far") - F.col("far_a")), F.lit(0.0)) <= 1 - percent / 100 + 1e-9)
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"), F.when(F.col("a") < F.col("b"), F.col("n_b")).otherwise(F.col("n_a")).alias("n_b"))
-        .distinct()
-        .join(counted.select("a", "b"), ["a", "b"], "left_anti")
+        .filter(F.coalesce(F.abs(F.col("far_a") - F.col("far_b")), F.lit(0.0)) <= 1 - percent / 100 + 1e-9)
+        .filter(rest * 100 >= (F.col("n_a") + F.col("n_b") - rest) * percent)
+        # A pair that meets in several buckets comes from the first of them.
+        .filter(F.col("bucket") == F.array_min(F.array_intersect("bands_a", "bands_b")))
+    )
+    turned = F.col("id_a") > F.col("id_b")
+    more = more.select(
+        F.least("id_a", "id_b").alias("a"),
+        F.greatest("id_a", "id_b").alias("b"),
+        F.when(turned, F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"),
+        F.when(turned, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b"),
     )
+    more = more.distinct().join(counted.select("a", "b"), ["a", "b"], "left_anti")
     more = written(more, "pairs")
     late = written(overlaps(more, texts, width), "overlaps").filter(is_link).select("a", "b")
     if not late.isEmpty():
