@@ -171,9 +171,14 @@ def ranked(hits: DataFrame, k: int) -> DataFrame:
 
 
 def query_blocks(queries: DataFrame, dim: int, block_bytes: int) -> Iterator[pa.Table]:
-    """The queries in tables of at most about block_bytes."""
+    """The queries in tables of at most about block_bytes, one query for each id.
+
+    Of several vectors under one id, that of the least hash is asked for, however many blocks there are. Ids that stand
+    once also keep the blocks, which are cut by their hashes, within their bounds.
+    """
     limit = max(1, block_bytes // (8 * dim))
     queries = of_dimension(queries, "query_id", dim)
+    queries = queries.groupBy("query_id").agg(F.min_by("vector", F.xxhash64("vector")).alias("vector"))
     first = queries.limit(limit + 1).toArrow()
     if first.num_rows <= limit:
         yield first

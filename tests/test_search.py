@@ -62,6 +62,14 @@ def test_vectors_that_cannot_be_indexed_are_passed_over(spark, data):
     assert collected(found) == brute_force(rows, queries, 10)
 
 
+def test_an_id_that_repeats_is_one_query_in_any_number_of_blocks(data):
+    rows, queries, vectors, asked = data
+    again = asked.unionByName(asked.withColumn("vector", F.reverse("vector"))).unionByName(asked)
+    once = collected(search.top_k(vectors, again, DIM, 3))
+    assert len(once) == 3 * (len(queries) - 1)  # The zero vector finds nothing.
+    assert collected(search.top_k(vectors, again, DIM, 3, block_bytes=8 * DIM * 4)) == once
+
+
 def test_nothing_to_search_or_ask(data):
     _, _, vectors, asked = data
     assert search.top_k(vectors.limit(0), asked, DIM).count() == 0
