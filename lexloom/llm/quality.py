@@ -154,20 +154,31 @@ class Logistic:
                 self.bias -= RATE * error.sum() / bias_square**0.5
 
     def calibrate(self, rows: Rows, picked: np.ndarray, wanted: np.ndarray) -> None:
-        """Platt scaling: slope and shift of the scores, by Newton steps with smoothed targets."""
+        """Platt scaling: slope and shift of the scores, by Newton steps with smoothed targets.
+
+        A step is halved until the loss falls. The slope is drawn towards 1 a little, which only tells on few rows.
+        """
         scores = rows.scores(self.weights, self.bias)[picked]
         good, bad = wanted.sum(), len(wanted) - wanted.sum()
         target = np.where(wanted > 0, (good + 1) / (good + 2), 1 / (bad + 2))
+
+        def loss(slope: float, shift: float) -> float:
+            odds = slope * scores + shift
+            return (np.logaddexp(0, odds) - target * odds).sum() + 0.05 * (slope - 1) ** 2 + 0.0005 * shift**2
+
         slope, shift = 1.0, 0.0
         for _ in range(30):
             chance = sigmoid(slope * scores + shift)
             error, spread = chance - target, np.maximum(chance * (1 - chance), 1e-6)
-            a, b, c = (spread * scores**2).sum() + 1e-3, (spread * scores).sum(), spread.sum() + 1e-3
-            first, second = (error * scores).sum() + 1e-3 * (slope - 1), error.sum()
+            a, b, c = (spread * scores**2).sum() + 0.1, (spread * scores).sum(), spread.sum() + 0.001
+            first, second = (error * scores).sum() + 0.1 * (slope - 1), error.sum() + 0.001 * shift
             det = a * c - b * b
-            slope, shift = slope - (c * first - b * second) / det, shift - (a * second - b * first) / det
-            slope, shift = float(np.clip(slope, 0.0, 50.0)), float(np.clip(shift, -50.0, 50.0))
-        self.slope, self.shift = slope, shift
+            by_slope, by_shift = (c * first - b * second) / det, (a * second - b * first) / det
+            length = 1.0
+            while length > 1e-4 and loss(slope - length * by_slope, shift - length * by_shift) > loss(slope, shift):
+                length /= 2
+            slope, shift = slope - length * by_slope, shift - length * by_shift
+        self.slope, self.shift = max(0.0, float(slope)), float(shift)
 
     def logits(self, rows: Rows) -> np.ndarray:
         return np.clip(self.slope * rows.scores(self.weights, self.bias) + self.shift, -30, 30)
