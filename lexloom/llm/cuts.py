@@ -15,6 +15,11 @@ from lexloom.session import ship_package
 LINE = re.compile(rb"\n")
 SENTENCE = re.compile(rb"[.!?][\x20\x09-\x0d]+|\n[\x20\x09-\x0d]*")
 
+#: Thai, Lao, Burmese, Khmer, kana and Chinese characters stand without spaces; about two of them make a word. The second
+#: pattern has the bytes that begin them, so that most texts need no decoding.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+MAY_BE_UNSPACED = re.compile(rb"[\xe0\xe1\xe3-\xe9\xef\xf0]")
+
 
 def parts(text: bytes | None, end: re.Pattern) -> list[bytes]:
     """The text cut after every match of `end`; joined they are the text."""
@@ -23,6 +28,15 @@ def parts(text: bytes | None, end: re.Pattern) -> list[bytes]:
     return [text[a:b] for a, b in zip(bounds, bounds[1:], strict=False) if a < b]
 
 
+def n_words(words: list[bytes]) -> int:
+    """How many words a part has; characters that stand without spaces count in pairs."""
+    extra = 0
+    for word in words:
+        if MAY_BE_UNSPACED.search(word):
+            extra += max(0, (len(UNSPACED.findall(word.decode("utf-8", "replace"))) + 1) // 2 - 1)
+    return len(words) + extra
+
+
 def minimal_windows(words: list[int], least_words: int, least_parts: int) -> list[tuple[int, int]]:
     """(start, length) of the shortest windows from each start on and up to each end that have so many words and parts.
 

@@ -7,13 +7,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.cuts import LINE, minimal_windows, parts, without
+from lexloom.llm.cuts import LINE, minimal_windows, n_words, parts, without
 from lexloom.llm.text import as_binary, map_batches, row_key
 from lexloom.operators.ranking import numbered
 from lexloom.session import written, written_counted
 
-#: A run counts as repeated text from so many words on; shorter lines repeat by chance or are headings.
-LEAST_WORDS = 20
+#: A run counts as repeated text from so many words on; lines of one or two words are mostly headings and marks.
+LEAST_WORDS = 3
 PLACE = ["k_id", "k_text", "i"]
 
 
@@ -29,7 +29,7 @@ class Lines:
             lines = [line.split() for line in parts(text, LINE)]
             lines = [words for words in lines if words]
             windows: dict[int, list[int]] = {}
-            for start, length in minimal_windows([len(words) for words in lines], self.least_words, 1):
+            for start, length in minimal_windows([n_words(words) for words in lines], self.least_words, 1):
                 windows.setdefault(start, []).append(length)
             for at, words in enumerate(lines):
                 rows.append((k_id, k_text, at, xxhash.xxh3_128_digest(b" ".join(words)), windows.get(at, [])))
@@ -59,7 +59,8 @@ def repeated_runs(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     shrink, and they end when no window that matters is longer. Suffixes with equal ranks are an interval of the suffix
     array whose common prefix has at least that many lines; for a window of any other length, the ranks of its first and
     its last 2^j lines say which interval it belongs to. Of each interval all but the first are repeats. The windows are
-    the least ones with `least_words` words, which together cover every maximal repeated run of at least that size.
+    the least ones with `least_words` words, which together cover every maximal repeated run of at least that size. Two
+    characters of a script without spaces count as a word.
 
     First is the smallest id, then the hash of the text, then the line. No run crosses documents. Null and empty texts
     have no lines, and repeated rows are one document.

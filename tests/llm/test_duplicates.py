@@ -122,6 +122,28 @@ def test_line_runs_by_brute_force(spark):
     assert found == plain_cut(texts, LINE, 9, 1, False)
 
 
+def test_short_lines_that_repeat_go(spark):
+    """Later copies of runs of three words or more go, also where nothing beside them repeats; shorter ones stay."""
+    texts = {
+        1: "one\nSubscribe to news\ntwo",
+        2: "three\nSubscribe  to news\nfour\nSee also\nfive",
+        3: "Subscribe to news\nSee also\nsix\nseven\neight",
+        4: "nine\nseven\neight\nten\nsix\nseven\neight\neleven",
+        5: "第一章 \n请订阅我们的新闻\n甲",
+        6: "请订阅我们的新闻\n第一章\n乙",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {row.doc_id: row.text for row in line_deduplicated(docs).select("row.doc_id", "text").collect()}
+    assert found == {
+        1: texts[1],
+        2: "three\nfour\nSee also\nfive",
+        3: "See also\nsix\nseven\neight",
+        4: "nine\nseven\neight\nten\neleven",
+        5: texts[5],
+        6: "第一章\n乙",
+    }
+
+
 def test_sentence_spans_by_brute_force(spark):
     texts = shuffled_texts("{}.", " ", 4)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
