@@ -1,5 +1,6 @@
 import hashlib
 import random
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 from math import floor
@@ -131,6 +132,49 @@ def test_license_notices(spark):
         assert (found[doc_id].licenses, found[doc_id].n_known, found[doc_id].first_sentence) == ("", 0, None)
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+MIT = """MIT License
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
+GPL3 = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."""
+LGPL = """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."""
+CC_WORK = "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."
+
+
+def test_license_notices_as_files_have_them(spark):
+    """Notices in their licences' own wording, on long lines, wrapped, and wrapped behind comment signs."""
+    notices = {
+        "Apache-2.0 notice": (APACHE, 4), "MIT text": (MIT, 2), "GPL-3.0-or-later notice": (GPL3, 2), "LGPL-2.1-or-later notice": (LGPL, 3),
+        "BSD text": (BSD, 3), "ISC text": (ISC, 1), "CC-BY-NC-SA-4.0": (CC_WORK, 1),
+    }
+    texts, wanted = {}, {}
+    for name, (notice, n) in notices.items():
+        wrapped = "\n".join(textwrap.fill(line, 72) for line in notice.split("\n"))
+        for text in (notice, wrapped, *("\n".join(sign + line for line in wrapped.split("\n")) for sign in ("# ", " * ", "// ", "dnl "))):
+            texts[len(texts)] = f"some code\n\n{text}\n\nmore code\n"
+            wanted[len(wanted)] = (name, n)
+    for tag, name in (("// SPDX-License-Identifier: MIT", "MIT"), ("/* SPDX-License-Identifier: GPL-2.0+ */", "GPL-2.0+")):
+        texts[len(texts)] = f"{tag}\nint x;"
+        wanted[len(wanted)] = (name, 1)
+    texts[len(texts)] = MIT.replace("sublicense, and/or", "sublicense\n\nand/or").split("The above")[0]
+    wanted[len(wanted)] = ("", 0)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {row.doc_id: (row.licenses, row.n_known) for row in license_scan(docs).collect()}
+    assert found == wanted
+
+
 def test_license_scan_of_odd_rows(odd_docs, no_docs):
     rows = license_scan(odd_docs).collect()
     assert Counter(row.doc_id for row in rows) == Counter(row.doc_id for row in odd_docs.collect())
