@@ -20,6 +20,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return accepted(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+#: Documents link from this share of common shingles on; op3's own limit is that of its query.
+NEAR_PERCENT = 80
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of repeated line runs; one of which nothing is left goes. n_chars follows the text."""
     return replaced(line_deduplicated(docs), docs, "text", "n_chars")
@@ -27,7 +31,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that of the smallest id. Rows that share an id stay or go together."""
-    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = near_duplicates(docs, percent=NEAR_PERCENT).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
 
 

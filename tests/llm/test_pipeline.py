@@ -1,8 +1,9 @@
+import random
 from collections import Counter, defaultdict
 
 import corpus_pipeline as pipeline
 import pytest
-from test_duplicates import brute, plain_cut
+from test_duplicates import brute, plain_cut, shingle_set
 from test_packing import check_places
 from test_scoring import plain_targets
 
@@ -55,6 +56,24 @@ def test_near_stage_by_brute_force(stages):
     assert after == {doc_id: text for doc_id, text in before.items() if named[doc_id] == doc_id}
 
 
+def test_near_stage_links_from_four_fifths(spark, folder):
+    """Brute force at 0.8, over pairs from below 0.8 to above 0.85."""
+    chance = random.Random(5)
+    texts = {}
+    for group in range(12):
+        words = [f"g{group}w{i}" for i in range(124)]
+        texts[2 * group] = " ".join(words)
+        for at in chance.sample(range(2, 120, 6), 2 + group % 3):
+            words[at] = f"x{group}_{at}"
+        texts[2 * group + 1] = " ".join(words)
+    sets = {doc_id: shingle_set(text) for doc_id, text in texts.items()}
+    shares = {b: len(sets[b - 1] & sets[b]) / len(sets[b - 1] | sets[b]) for b in range(1, 24, 2)}
+    assert any(share < 0.8 for share in shares.values()) and any(0.8 <= share < 0.85 for share in shares.values())
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    made = pipeline.near_dedup(spark, docs, folder)
+    assert {row.doc_id for row in made.collect()} == set(texts) - {b for b, share in shares.items() if share >= 0.8}
+
+
 def test_mixing_stage_comes_near_its_targets(stages):
     docs, made = stages["source mixing"]
     rows = docs.collect()
