@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from lexloom.llm.text import row_key
 from lexloom.session import ship_package
 
-#: A line with its line end; a sentence with the white space after it. Both cover the whole text.
+#: A line with its line end; a sentence with the white space after it, which full-width end marks (U+3002, U+FF01, U+FF1F)
+#: do without. Both cover the whole text.
 LINE = re.compile(rb"\n")
-SENTENCE = re.compile(rb"[.!?][\x20\x09-\x0d]+|\n[\x20\x09-\x0d]*")
+SENTENCE = re.compile(rb"[.!?][\x20\x09-\x0d]+|\n[\x20\x09-\x0d]*|(?:\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f)[\x20\x09-\x0d]*")
 
 #: Thai, Lao, Burmese, Khmer, kana and Chinese characters stand without spaces; about two of them make a word. The second
 #: pattern has the bytes that begin them, so that most texts need no decoding.

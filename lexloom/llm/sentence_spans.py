@@ -7,12 +7,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.cuts import SENTENCE, minimal_windows, parts, without
+from lexloom.llm.cuts import SENTENCE, minimal_windows, n_words, parts, without
 from lexloom.llm.text import as_binary, map_batches, row_key
 from lexloom.session import written
 
-#: A span is a run of several sentences, and as many of them as make so many words.
-LEAST_SENTENCES, LEAST_WORDS = 2, 20
+#: A span is a run of sentences, as many of them as make so many words; one that is long enough is a span by itself.
+LEAST_SENTENCES, LEAST_WORDS = 1, 20
 
 
 class Spans:
@@ -26,7 +26,7 @@ class Spans:
         for k_id, k_text, text in zip(*(batch.column(name).to_pylist() for name in ("k_id", "k_text", "text")), strict=True):
             sentences = [words for part in parts((text or b"").lower(), SENTENCE) if (words := part.split())]
             marks = [xxhash.xxh3_128_digest(b" ".join(words)) for words in sentences]
-            for start, length in minimal_windows([len(words) for words in sentences], self.least_words, self.least_sentences):
+            for start, length in minimal_windows([n_words(words) for words in sentences], self.least_words, self.least_sentences):
                 mark = xxhash.xxh3_128_intdigest(b"".join(marks[start : start + length]))
                 for column, value in zip(
                     columns, (k_id, k_text, start, length, (mark >> 64) - (1 << 63), (mark & 0xFFFFFFFF) - (1 << 31)), strict=True
@@ -46,7 +46,8 @@ def repeated_spans(
 ) -> DataFrame:
     """(k_id, k_text, start, length): spans of sentences that stand earlier too, in this document or one before it.
 
-    A sentence ends at white space after . ! or ?, or at a line end; A-Z and white space don't matter. Hashes are first
+    A sentence ends at white space after . ! or ?, after a full-width end mark, or at a line end; A-Z and white space don't
+    matter, and two characters of a script without spaces count as a word. Hashes are first
     counted, with a partial step in every task and nothing but the first place beside them; then the places of those that
     repeat are looked up by a join, whose hot keys Spark can split. First is the smallest id, then the hash of the text,
     then the sentence. Null and empty texts have no spans; repeated rows are one document.

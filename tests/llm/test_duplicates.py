@@ -174,6 +174,32 @@ def test_second_copy_of_a_passage_goes(spark):
     assert cut == {1: f"Before it. {passage} After.", 2: "Other end.", 3: "Nothing alike."}
 
 
+def test_long_sentences_and_sentences_without_spaces(spark):
+    """One long sentence between other neighbours, a passage in mid-sentence, a line without end marks, and Chinese prose."""
+    first, second = (" ".join(f"{name}{i}" for i in range(n)) for name, n in (("a", 28), ("b", 30)))
+    prose = "春天来了花园里的花都开了孩子们在草地上奔跑老人坐在长椅上晒太阳一切都很安静美好。"
+    texts = {
+        1: f"One here. {second}. Two there.",
+        2: f"Three words go before {first}. {second}. Four.",
+        3: f"Other words before {first}. {second}. Five.",
+        4: f"Six\n{first}\nseven",
+        5: f"Eight\n{first}\nnine",
+        6: f"今天很好。{prose}我们回家。",
+        7: f"昨天下雨。{prose}他们没来。",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    cut = {row.doc_id: row.text for row in passages_removed(docs).select("row.doc_id", "text").collect()}
+    assert cut == {
+        1: texts[1],
+        2: f"Three words go before {first}. Four.",
+        3: f"Other words before {first}. Five.",
+        4: texts[4],
+        5: "Eight\nnine",
+        6: texts[6],
+        7: "昨天下雨。他们没来。",
+    }
+
+
 def vector_links(rows):
     links = []
     for n, (a, x, label) in enumerate(rows):
