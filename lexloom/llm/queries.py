@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.llm.harmonic import harmonic_pack
 from lexloom.llm.language import languages_of
 from lexloom.llm.licenses import license_scan, scan_sql
 from lexloom.llm.line_runs import LEAST_WORDS as LINE_WORDS
@@ -66,6 +67,10 @@ def language_id(spark: SparkSession, folder: str) -> DataFrame:
     return languages_of(table(spark, folder, "documents"))
 
 
+def harmonic_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return harmonic_pack(table(spark, folder, "documents"), with_ids=False)
+
+
 QUERIES = {
     "op1_best_fit_packing": best_fit_packing,
     "op2_quality_classifier": quality_classifier,
@@ -77,6 +82,7 @@ QUERIES = {
     "op8_source_mixing": source_mixing,
     "op9_license_scans": license_scans,
     "op10_language_id": language_id,
+    "op11_harmonic_packing": harmonic_packing,
 }
 
 WS = r"[\x20\x09-\x0D]"
