@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.llm.alignment import align
 from lexloom.llm.harmonic import harmonic_pack
 from lexloom.llm.language import languages_of
 from lexloom.llm.licenses import license_scan, scan_sql
@@ -71,6 +72,10 @@ def harmonic_packing(spark: SparkSession, folder: str) -> DataFrame:
     return harmonic_pack(table(spark, folder, "documents"), with_ids=False)
 
 
+def tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return align(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_best_fit_packing": best_fit_packing,
     "op2_quality_classifier": quality_classifier,
@@ -83,6 +88,7 @@ QUERIES = {
     "op9_license_scans": license_scans,
     "op10_language_id": language_id,
     "op11_harmonic_packing": harmonic_packing,
+    "op13_tokenizer_alignment": tokenizer_alignment,
 }
 
 WS = r"[\x20\x09-\x0D]"
