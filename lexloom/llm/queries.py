@@ -15,6 +15,7 @@ from lexloom.llm.minmax import near_duplicates
 from lexloom.llm.mixing import MAX_REPEATS, OFFSET, mix, n_words
 from lexloom.llm.multi_index import near_vectors
 from lexloom.llm.packing import pack
+from lexloom.llm.prefix_trie import conversation_codes, prefix_trie, regrown
 from lexloom.llm.quality import fit_quality, quality_scores
 from lexloom.llm.sentence_spans import LEAST_SENTENCES, passages_removed
 from lexloom.llm.sentence_spans import LEAST_WORDS as SPAN_WORDS
@@ -72,6 +73,10 @@ def harmonic_packing(spark: SparkSession, folder: str) -> DataFrame:
     return harmonic_pack(table(spark, folder, "documents"), with_ids=False)
 
 
+def conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie(regrown(conversation_codes(table(spark, folder, "conversations"))))
+
+
 def tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return align(table(spark, folder, "documents"))
 
@@ -88,6 +93,7 @@ QUERIES = {
     "op9_license_scans": license_scans,
     "op10_language_id": language_id,
     "op11_harmonic_packing": harmonic_packing,
+    "op12_conversation_trie": conversation_trie,
     "op13_tokenizer_alignment": tokenizer_alignment,
 }
 
@@ -191,6 +197,41 @@ FROM embeddings JOIN (SELECT a AS vec_id, min(b) AS component_id FROM reached GR
 LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) USING (vec_id)
 """
 
+TRIE = """
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i::BIGINT, range(8)),
+    lambda a, x: CASE WHEN a & 1 = 1 THEN xor(3988292384::BIGINT, a >> 1) ELSE a >> 1 END)) AS t),
+turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id
+    ORDER BY turn NULLS FIRST, substr(sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32)) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda a, x: xor(t[(xor(a, x) & 255) + 1], a >> 8)), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns), crc),
+grown AS (
+  SELECT c.conv_id, 0 AS part, pos, role, text FROM convs c JOIN turns b ON b.conv_id = c.conv_id - c.conv_id % 5 AND pos <= h
+  UNION ALL SELECT c.conv_id, 1, pos, role, text FROM convs c JOIN turns USING (conv_id) WHERE pos > h),
+paths AS (
+  SELECT conv_id, coalesce(list({'r': role, 't': text} ORDER BY part, pos) FILTER (part IS NOT NULL), []) AS path
+  FROM convs LEFT JOIN grown USING (conv_id) GROUP BY conv_id),
+beginnings AS (
+  SELECT conv_id, len(path) AS n, d AS depth, path[1:d] AS beginning FROM paths, unnest(range(len(path) + 1)) AS depths(d)),
+nodes AS (
+  SELECT depth, beginning, CASE WHEN depth > 0 THEN beginning[1:depth - 1] END AS parent, min(conv_id) AS conv_id, count(*) AS n_convs,
+    (count(*) - 1) * CASE WHEN depth > 0 THEN strlen(beginning[depth].t) ELSE 0 END AS own,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+  FROM beginnings GROUP BY depth, beginning),
+kids AS (SELECT depth - 1 AS depth, parent AS beginning, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+counted AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids USING (depth, beginning)),
+below AS (
+  SELECT d AS depth, beginning[1:d] AS beginning, count(*) FILTER (n_children = 0) AS n_leaves, sum(own)::BIGINT AS saved_tokens
+  FROM counted, unnest(range(counted.depth + 1)) AS depths(d) GROUP BY ALL)
+SELECT c.conv_id, c.depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, n_leaves, saved_tokens, c.ends_sha256
+FROM counted c JOIN below b ON b.depth = c.depth AND b.beginning = c.beginning
+LEFT JOIN nodes p ON p.depth = c.depth - 1 AND p.beginning = c.parent
+"""
+
 ORACLES = {
     "op3_minmax_near_dedup": SHINGLE_LINKS,
     "op4_line_dedup": windows_sql(r"\n", r"\0" + "\x01", LINE_WORDS, 1, False, "n_lines"),
@@ -198,4 +239,5 @@ ORACLES = {
     "op7_substring_dedup": windows_sql(rf"[.!?]{WS}+|\n{WS}*", r"\0" + "\x01", SPAN_WORDS, LEAST_SENTENCES, True, "n_sentences"),
     "op8_source_mixing": MIXED,
     "op9_license_scans": scan_sql(),
+    "op12_conversation_trie": TRIE,
 }
