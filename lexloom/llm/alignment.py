@@ -34,7 +34,7 @@ from lexloom.session import ship_package, written
 #: Pairs whose counts every task holds, 13 bytes each. Pairs beyond them are joined.
 HEAD_PAIRS = 1_000_000
 #: When so many parts of texts, windows or token ids are known, all are forgotten.
-KNOWN_PARTS, KNOWN_WINDOWS, KNOWN_IDS = 500_000, 400_000, 8_000_000
+KNOWN_PARTS, KNOWN_WINDOWS, KNOWN_IDS = 700_000, 600_000, 12_000_000
 #: A token id of B in a window's key has this bit.
 OF_B = np.uint32(1 << 31)
 
@@ -119,11 +119,21 @@ def flat(values: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(chain.from_iterable(values), np.uint32, int(lengths.sum())), lengths
 
 
+class Signs(dict):
+    """How a token id is written in a list of groups: twice the id, one more at the end of its group's A or B tokens."""
+
+    def __missing__(self, code: int) -> str:
+        of_b, at = code >> 20, code & (1 << 20) - 1
+        sign = (";" if of_b else "|") if at & 1 else ","
+        made = self[code] = f"{at >> 1}{sign}"
+        return made
+
+
 class Parts:
     """Token ids of whole texts under both tokenizers, put together from those of the parts between single spaces."""
 
     def __init__(self, path_a: str, path_b: str):
-        self.a, self.b = ByteTokens(path_a), PieceTokens(path_b)
+        self.a, self.b, self.signs = ByteTokens(path_a), PieceTokens(path_b), Signs()
         self._forget()
 
     def _forget(self) -> None:
@@ -139,8 +149,8 @@ class Parts:
     def _learn(self, parts: list[str]) -> None:
         of_a, of_b = self.a(parts), self.b(parts)
         raw = [(" " + part).encode("utf-8", "surrogatepass") for part in parts]
-        a, b = self.a.vocabulary, self.b.vocabulary
-        good = [a.joined(x) == bytes_ == b.joined(y) for x, y, bytes_ in zip(of_a, of_b, raw, strict=True)]
+        a, b = self.a.vocabulary.joined, self.b.vocabulary.joined
+        good = [b(y) == part == a(x) for x, y, part in zip(of_a, of_b, raw, strict=True)]
         self._good = np.concatenate([self._good, np.array(good, bool)])
         self._of_a, self._of_b = self._grown(self._of_a, *flat(of_a)), self._grown(self._of_b, *flat(of_b))
 
@@ -237,7 +247,7 @@ class Laid:
         self.until_a, self.until_b = shared_a[anchors] + 1, shared_b[anchors] + 1
         self.n_groups = np.diff(np.searchsorted(shared_a, self.of_a))
         self.of_windows = np.searchsorted(self.until_a, self.of_a, side="right")
-        known = len(windows)
+        self.signs, known = parts.signs, len(windows)
         self.windows = self._numbers(windows)
         self._learn(windows, known)
 
@@ -268,25 +278,29 @@ class Laid:
         places = ends[ranges(start, end - start)]
         at_a, at_b = np.searchsorted(self.ends_a, places), np.searchsorted(self.ends_b, places)
         pairs = self.a[at_a].astype(np.int64) * windows.width + self.b[at_b]
-        texts = self._texts(first, start, end, places, at_a, at_b) if windows.with_texts else []
+        closing = places[self.in_a[places] & self.in_b[places]]
+        texts = self._texts(first, closing) if windows.with_texts else []
         windows.add(pairs, end - start, texts)
 
-    def _texts(self, first, start, end, places, at_a, at_b) -> list[str]:
-        """`a1,a2|b1;a3|b2,b3` of each window."""
-        closing = np.flatnonzero(self.in_a[places] & self.in_b[places])
-        groups = np.searchsorted(closing, np.cumsum(end - start))
-        sides = []
-        for ids, at, until in ((self.a, at_a, self.until_a), (self.b, at_b, self.until_b)):
+    def _texts(self, first: np.ndarray, closing: np.ndarray) -> list[str]:
+        """`a1,a2|b1;a3|b2,b3` of each window: its tokens group by group, each written with the sign behind it."""
+        sides, words, n_words = [], [], np.zeros(len(first), np.int64)
+        for ids, ends, until in ((self.a, self.ends_a, self.until_a), (self.b, self.ends_b, self.until_b)):
             since = np.concatenate([[0], until[:-1]])[first]
             lengths = until[first] - since
-            words = list(map(str, ids[ranges(since, lengths)].tolist()))
-            # Where each group ends among the new windows' tokens.
-            n_groups = np.diff(groups, prepend=0)
-            stops = (at[closing] + 1 - np.repeat(since - starts_of(lengths), n_groups)).tolist()
-            sides.append([",".join(words[x:y]) for x, y in zip([0, *stops], stops, strict=False)])
-        joined = list(map("|".join, zip(*sides, strict=True)))
-        bounds = groups.tolist()
-        return [";".join(joined[x:y]) for x, y in zip([0, *bounds], bounds, strict=False)]
+            at = ranges(since, lengths)
+            group = np.searchsorted(closing, ends[at])
+            last = np.append(group[1:] != group[:-1], True)
+            n_words += lengths
+            sides.append(group)
+            words.append((len(words) << 20) + 2 * ids[at].astype(np.int64) + last)
+        per_a, per_b = (np.bincount(group, minlength=len(closing)) for group in sides)
+        row = np.empty(len(words[0]) + len(words[1]), np.int64)
+        row[np.arange(len(words[0])) + starts_of(per_b)[sides[0]]] = words[0]
+        row[np.arange(len(words[1])) + np.cumsum(per_a)[sides[1]]] = words[1]
+        written_out = list(map(self.signs.__getitem__, row.tolist()))
+        bounds = np.cumsum(n_words).tolist()
+        return ["".join(written_out[x:y])[:-1] for x, y in zip([0, *bounds], bounds, strict=False)]
 
     def per_text(self, values: np.ndarray) -> np.ndarray:
         """Sums over each text's windows of a value that every known window has."""
