@@ -47,6 +47,16 @@ def score_block(matrix: np.ndarray, norms: np.ndarray, queries: np.ndarray, quer
     """The same score for every (query, row) of two blocks."""
     scores = dot_block(matrix, norms, queries, query_norms)
     scores /= query_norms[:, None] * norms[None, :]
+    return whole_digits(scores)
+
+
+def score_rows(matrix: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """The same score for the rows of two matrices, one by one."""
+    return whole_digits(np.einsum("ij,ij->i", matrix, queries) / (row_norms(matrix) * row_norms(queries)))
+
+
+def whole_digits(scores: np.ndarray) -> np.ndarray:
+    """1 + cosine, to six digits, in place."""
     scores += 1.0
     scores *= SCORE_SCALE
     scores += 0.5

@@ -29,18 +29,6 @@ def upsert(current: DataFrame, changes: DataFrame, keys: list[str], order: list[
     return latest_per_key(current.unionByName(changes), keys, order)
 
 
-def newest_batches(rows: DataFrame, keys: list[str], broadcast_rows: int = BROADCAST_ROWS, order: str = "batch") -> DataFrame:
-    """The rows of batch folders with those left out that a later batch wrote again; keys are unique within a batch.
-
-    Only keys and the numbers that order the batches are grouped to find the keys written more than once. While those are few they are sent
-    to the wide rows; when they are many the rows are joined to them by key.
-    """
-    times = rows.groupBy(*keys).agg(F.max(order).alias("last"), F.count(F.lit(1)).alias("n"))
-    again = small(times.filter(F.col("n") > 1).select(*keys, "last"), broadcast_rows)
-    marked = rows.join(again, keys, "left")
-    return marked.filter(F.col("last").isNull() | (F.col("last") == F.col(order))).drop("last")
-
-
 def small(rows: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Stores the rows, and asks for a broadcast if they are counted to be few; otherwise leaves the join to Spark."""
     stored, n = written_counted(rows)

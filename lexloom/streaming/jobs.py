@@ -1,8 +1,8 @@
 """The batch functions over arriving rows: file streams in, idempotent batch folders out.
 
-Every sink writes one folder per writer and batch number and overwrites it, so a batch that runs again after a failure
-changes nothing, and a stream with a fresh checkpoint deletes nothing; readers take the latest row of each key. A batch is
-marked done only after its rows are stored.
+Every sink commits its batch to keyed tables under the names of its writer and number, so a batch that runs again after a
+failure finds itself there and changes nothing. What a batch reads besides its own rows, it reads as of a version that it
+pins when it first runs.
 """
 
 from __future__ import annotations
@@ -12,15 +12,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import raw_object_key
+from lexloom.functions.text import chunk_id_of_key, raw_object_key
 from lexloom.operators import answer as an
-from lexloom.operators.batches import Batch, batch_path, read_latest, write_batch, writer_of
+from lexloom.operators.batches import read_latest, write_batch, writer_of
 from lexloom.operators.chunk import document_chunks, statute_chunks
 from lexloom.operators.embed import Embedder, embed
 from lexloom.operators.extract import frontier_links, quarantine, scrape
 from lexloom.operators.frontier import fetch_outcome
-from lexloom.operators.store import latest_per_key
+from lexloom.operators.keyed_table import Batch, KeyedTable
+from lexloom.operators.store import latest_per_key, lookup
 from lexloom.operators.vector_table import VectorTable
+from lexloom.session import written
 from lexloom.sources import events as messages
 from lexloom.sources.tables import spread
 
@@ -63,18 +65,27 @@ def run_append(stream: DataFrame, path: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def fetch_sink(out: str) -> BatchSink:
-    """Fetched pages (url, html, status, fetched_at): good ones are stored by key and only then marked seen; others retry."""
+def as_of(source: DataFrame | KeyedTable | VectorTable, batch: Batch | int) -> DataFrame:
+    """What a batch reads of a source: rows that stay as they are, or a growing table at the version that it has pinned."""
+    return source if isinstance(source, DataFrame) else source.read(source.pinned(batch))
+
+
+def fetch_sink(spark: SparkSession, out: str) -> BatchSink:
+    """Fetched pages (url, html, status, fetched_at): good ones not seen before are stored by key and only then marked seen.
+
+    Others are kept to be fetched again. A page that another batch has stored meanwhile is passed over.
+    """
+    seen = KeyedTable(spark, f"{out}/seen", "url string", ["url"])
+    seen.init()
 
     def sink(fetched: DataFrame, batch: Batch | int) -> None:
+        new = fetched.join(as_of(seen, batch), "url", "left_anti")
         outcome = fetch_outcome(F.col("status"))
-        good = fetched.filter(outcome == "stored").select(
-            raw_object_key(F.col("url")).alias("object_key"), "url", "html", "fetched_at"
-        )
-        write_batch(latest_per_key(good, ["object_key"], ["fetched_at", "html"]), f"{out}/pages", batch)
-        stored = fetched.sparkSession.read.parquet(batch_path(f"{out}/pages", batch))
-        write_batch(stored.select("url"), f"{out}/seen", batch)
-        write_batch(fetched.filter(outcome == "retry").select("url", "status").distinct(), f"{out}/retry", batch)
+        good = new.filter(outcome == "stored").select(raw_object_key(F.col("url")).alias("object_key"), "url", "html", "fetched_at")
+        good = written(latest_per_key(good, ["object_key"], ["fetched_at", "html"]), "fetched")
+        write_batch(good, f"{out}/pages", batch, ["object_key"])
+        seen.write(good.select("url"), batch)
+        write_batch(new.filter(outcome == "retry").select("url", "status").distinct(), f"{out}/retry", batch, ["url", "status"])
 
     return sink
 
@@ -83,11 +94,10 @@ def scrape_sink(out: str) -> BatchSink:
     """Raw pages to chunks, links and quarantine, all from one reading of each page."""
 
     def sink(pages: DataFrame, batch: Batch | int) -> None:
-        scraped = scrape(spread(pages, "url")).persist()
-        write_batch(latest_per_key(statute_chunks(scraped), ["id"], ["url", "pos"]), f"{out}/chunks", batch)
-        write_batch(frontier_links(scraped), f"{out}/links", batch)
-        write_batch(quarantine(scraped), f"{out}/quarantine", batch)
-        scraped.unpersist()
+        scraped = written(scrape(spread(pages, "url")), "scraped")
+        write_batch(statute_chunks(scraped), f"{out}/chunks", batch, ["id"])
+        write_batch(frontier_links(scraped), f"{out}/links", batch, ["url", "pos"])
+        write_batch(quarantine(scraped), f"{out}/quarantine", batch, ["url"])
 
     return sink
 
@@ -96,7 +106,7 @@ def chunk_sink(out: str) -> BatchSink:
     """Documents to chunks."""
 
     def sink(documents: DataFrame, batch: Batch | int) -> None:
-        write_batch(document_chunks(documents), out, batch)
+        write_batch(document_chunks(documents), out, batch, ["id"])
 
     return sink
 
@@ -112,10 +122,37 @@ def index_sink(vectors: VectorTable, embedder: Embedder) -> BatchSink:
     return sink
 
 
-def answer_sink(out: str, index: DataFrame, store: DataFrame, embedder: Embedder, dim: int, sender: str) -> BatchSink:
+def event_index_sink(out: str, store: KeyedTable, vectors: VectorTable, embedder: Embedder, bucket: str) -> BatchSink:
+    """Object-created events (id, body) to vectors of the chunks that they name, fetched from the store by id.
+
+    An event can come before its chunk. Its id then waits, and is asked for again with every later batch until the store
+    has it. Events that cannot be read are kept aside.
+    """
+    vectors.init()
+    asked = KeyedTable(store.spark, f"{out}/asked", "id string, waits boolean", ["id"])
+    asked.init()
+
+    def sink(events: DataFrame, batch: Batch | int) -> None:
+        parsed = events.select("id", "body", messages.parsed(F.col("body"), messages.OBJECT_EVENT).alias("event"))
+        parsed = parsed.withColumn("route", messages.event_route(F.col("event"), bucket))
+        named = parsed.filter("route = 'index'").select(chunk_id_of_key(F.col("event.detail.object.key")).alias("id"))
+        waiting = as_of(asked, batch).filter("waits").select("id")
+        wanted = written(named.unionByName(waiting).distinct(), "wanted")
+        found = written(lookup(wanted, as_of(store, batch).select("id", "body"), "id"), "found")
+        vectors.upsert(embed(found.filter("not missing"), "id", "body", embedder), batch)
+        write_batch(parsed.filter("route = 'bad_event'").select("id", "body"), f"{out}/quarantine", batch, ["id"])
+        asked.write(found.select("id", F.col("missing").alias("waits")), batch)
+
+    return sink
+
+
+def answer_sink(
+    out: str, index: DataFrame | VectorTable, store: DataFrame | KeyedTable, embedder: Embedder, dim: int, sender: str
+) -> BatchSink:
     """Inbound messages (id, body) to outbox rows; unreadable and failed ones are stored with status 500.
 
-    The index holds stored vectors, so that no batch embeds the chunks again.
+    Each batch asks the index and the store as they are when it first runs, so that a chunk indexed between two batches is
+    found by the second.
     """
 
     def sink(inbound: DataFrame, batch: Batch | int) -> None:
@@ -125,7 +162,7 @@ def answer_sink(out: str, index: DataFrame, store: DataFrame, embedder: Embedder
             messages.inbound_prompt(F.col("m")).alias("prompt"),
             messages.inbound_identity(F.col("m")).alias("identity"),
         )
-        answered = an.answers(good, index, store, embedder, dim).select(
+        answered = an.answers(good, as_of(index, batch), as_of(store, batch).select("id", "body"), embedder, dim).select(
             F.col("prompt_id").alias("id"),
             "status",
             F.when(F.col("status") == 200, an.outbound_message(sender, F.col("identity"), F.col("answer"))).alias("payload"),
@@ -133,7 +170,7 @@ def answer_sink(out: str, index: DataFrame, store: DataFrame, embedder: Embedder
         bad = parsed.filter(F.col("m._bad").isNotNull()).select(
             "id", F.lit(500).alias("status"), F.lit(None).cast("string").alias("payload")
         )
-        write_batch(answered.unionByName(bad), out, batch)
+        write_batch(answered.unionByName(bad), out, batch, ["id"])
 
     return sink
 

@@ -4,10 +4,10 @@ from pyspark.sql import functions as F
 
 from lexloom.operators import frontier as fr
 from lexloom.operators import ranking
-from lexloom.operators.batches import Batch
+from lexloom.operators.keyed_table import Batch, KeyedTable
 from lexloom.operators.ranking import crawl_schedule
 from lexloom.operators.refresh import CrawlState, full_refresh
-from lexloom.operators.store import latest_per_key, lookup, newest_batches, upsert
+from lexloom.operators.store import latest_per_key, lookup, upsert
 from lexloom.operators.vector_table import VectorTable
 from lexloom.session import work_path
 
@@ -27,12 +27,6 @@ def test_upsert_twice_changes_nothing(spark):
     assert sorted(map(tuple, upsert(once, new, ["id"], ["seq"]).collect())) == sorted(map(tuple, once.collect()))
 
 
-def test_newest_batches_either_way(spark):
-    rows = spark.createDataFrame([("a", 0, "x"), ("a", 2, "y"), ("b", 1, "z")], "id string, batch int, body string")
-    for limit in (0, 100):
-        assert sorted(map(tuple, newest_batches(rows, ["id"], limit).collect())) == [("a", 2, "y"), ("b", 1, "z")]
-
-
 def test_lookup_either_way(spark):
     wanted = spark.createDataFrame([(1, "a"), (2, "a"), (3, "n")], "w int, id string")
     store = spark.createDataFrame([("a", "A"), ("b", "B")], "id string, body string")
@@ -112,7 +106,7 @@ def test_vector_table(spark):
     again = VectorTable(spark, path, 2)
     again.init()
     assert {r.id: r.vector for r in again.read().collect()} == wanted
-    smaller = again.compacted(work_path(spark, "vectors"))
+    smaller = again.rebuilt(work_path(spark, "vectors"), 3)
     smaller.upsert(spark.createDataFrame([("a", [0.0, 3.0])], "id string, vector array<double>"), 0)
     assert {r.id: r.vector for r in smaller.read().collect()} == wanted | {"a": [0.0, 3.0]}
 
@@ -144,3 +138,69 @@ def test_refreshed_state_is_found_again(spark):
     assert state.generation == 1 and state.read("seen").count() == 0 and state.read("frontier").first().url == "b"
     state.refresh(urls[2])
     assert CrawlState(spark, folder).read("frontier").first().url == "c" and state.generation == 2
+
+
+KIND = "id string, body string, n int"
+
+
+def rows_of(table, version=None):
+    return {r.id: (r.body, r.n) for r in table.read(version).collect()}
+
+
+def test_commits_come_in_the_order_in_which_they_are_made(spark, monkeypatch):
+    """Whatever a writer's clock says and however its batches are numbered."""
+    import time
+
+    path = work_path(spark, "keyed")
+    KeyedTable(spark, path, KIND, ["id"], 4).write(spark.createDataFrame([("a", "first", 1), ("b", "first", 1)], KIND), Batch("one", 7))
+    monkeypatch.setattr(time, "time_ns", lambda: 0)
+    KeyedTable(spark, path).write(spark.createDataFrame([("a", "second", 2)], KIND), Batch("two", 7))
+    table = KeyedTable(spark, path)
+    assert rows_of(table) == {"a": ("second", 2), "b": ("first", 1)} and table.read().count() == 2
+    assert rows_of(table, 1) == {"a": ("first", 1), "b": ("first", 1)} and table.read(0).count() == 0
+
+
+def test_two_writers_that_commit_at_once_both_stay(spark, monkeypatch):
+    """The second writer commits while the first is still writing its buckets: on other keys, on the same key."""
+    for key in ("z", "a"):
+        path = work_path(spark, "keyed")
+        first, second = KeyedTable(spark, path, KIND, ["id"], 2), KeyedTable(spark, path)
+        first.write(spark.createDataFrame([("a", "old", 0), ("b", "old", 0)], KIND), Batch("zero", 0))
+        merged, once = first._merged, []
+
+        def slow(*given):
+            made = merged(*given)
+            if not once:
+                once.append(second.write(spark.createDataFrame([(key, "between", 1)], KIND), Batch("two", 0)))
+            return made
+
+        monkeypatch.setattr(first, "_merged", slow)
+        assert first.write(spark.createDataFrame([("a", "late", 2)], KIND), Batch("one", 0)) == 3 and once == [2]
+        assert rows_of(first) == {"a": ("late", 2), "b": ("old", 0)} | ({"z": ("between", 1)} if key == "z" else {})
+        assert first.read().count() == (3 if key == "z" else 2)
+
+
+def test_only_buckets_of_changed_keys_are_written_and_old_rows_stay_where_they_are(spark):
+    table = KeyedTable(spark, work_path(spark, "keyed"), KIND, ["id"], 8)
+    table.write(spark.range(200).selectExpr("cast(id AS string) AS id", "'x' AS body", "cast(id AS int) AS n"), 0)
+    before = table.entry()["folders"]
+    assert len(before) == 8
+    table.write(spark.createDataFrame([("5", "y", 9)], KIND), 1, removed=spark.createDataFrame([("5",), ("7",)], "id string"))
+    after = table.entry()["folders"]
+    changed = [b for b in after if after[b] != before[b]]
+    assert 1 <= len(changed) <= 2 and table.read().count() == 199 and rows_of(table)["5"] == ("y", 9)
+    plan = table._rows(table.entry(), changed).join(F.broadcast(spark.createDataFrame([("5",)], "k string")), F.col("id") == F.col("k"), "left_anti")
+    assert "Exchange hashpartitioning" not in plan._jdf.queryExecution().toString()
+    table.clean(1)
+    assert table.read().count() == 199 and sorted(table._files.names(f"{table.path}/data")) == sorted(set(after.values()))
+
+
+def test_repeated_and_null_keys_and_empty_batches(spark):
+    table = KeyedTable(spark, work_path(spark, "keyed"), KIND, ["id"], 3)
+    rows = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("a", "y", 2), (None, "n", 1), (None, "m", 2)], KIND)
+    table.write(rows, 0)
+    assert table.read().count() == 2
+    table.write(spark.createDataFrame([(None, "later", 3)], KIND), 1)
+    assert rows_of(table)[None] == ("later", 3) and table.read().count() == 2
+    assert table.write(rows.limit(0), 2) == 3 and table.read().count() == 2
+    assert table.rebuilt(work_path(spark, "keyed"), 5).read().count() == 2
