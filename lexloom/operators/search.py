@@ -1,18 +1,19 @@
-"""Cosine nearest neighbours of many queries: the vectors are scanned where they lie, each task keeping its own top k.
+"""Cosine nearest neighbours of many queries, block by block.
 
-Queries reach the tasks in blocks of a checked size. More queries than one block holds means more passes over the
-vectors, each with the next block, never a larger block. No vector is shuffled; only k rows per query and task are.
+Queries and vectors are packed into blocks, a matrix in one row of a table each. A task scores a block of queries against a
+block of vectors as one matrix product and keeps the k best per query; what is left is merged by query. When all the
+queries are few, their blocks are sent to where the vectors lie, and no vector moves. When they are many, groups of vector
+blocks are joined with all query blocks, in one job for any number of them. Neither passes through the driver's Python.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,52 +22,18 @@ from lexloom.operators.embed import Embedder, embed
 from lexloom.params import TOP_K
 from lexloom.session import ship_package, written
 
-# A block of queries is sent to every executor; a step scores at most so many pairs at once.
+# All queries together may be sent to the vectors up to this size.
 BLOCK_BYTES = 64 * 1024 * 1024
+# A block is one row; a step scores at most so many pairs at once.
+ROW_BYTES, LEAST_ROWS, MOST_ROWS = 512 * 1024, 256, 4096
 PAIRS_PER_STEP = 2_000_000
-MAX_ROWS_PER_STEP = 1024
+# Vector blocks that meet the queries in one group, and blocks of queries whose best hits a task holds at a time.
+BLOCKS_PER_GROUP, QUERIES_HELD = 8, 16
 MERGE_SHARES = 16
 HITS = pa.schema([("query_id", pa.string()), ("id", pa.string()), ("score", pa.float64())])
+BLOCK = "block long, ids array<string>, matrix binary"
 
-Scorer = Callable[[np.ndarray, np.ndarray], np.ndarray]
-
-
-class QueryBlock:
-    """A bounded number of queries as one matrix."""
-
-    def __init__(self, table: pa.Table):
-        self.ids = np.array(table.column("query_id").to_pylist(), dtype=str)
-        self.matrix = dense(table.column("vector").combine_chunks())
-        norms = row_norms(self.matrix) if len(self.ids) else np.zeros(0)
-        fit = usable(norms)
-        self.ids, self.matrix, self.norms = self.ids[fit], self.matrix[fit], norms[fit]
-
-    def scores(self, matrix: np.ndarray, norms: np.ndarray) -> np.ndarray:
-        return score_block(matrix, norms, self.matrix, self.norms)
-
-
-class BucketedBlock(QueryBlock):
-    """Scores only the pairs that share a bucket of random half-spaces in at least one table."""
-
-    def __init__(self, table: pa.Table, tables: int, bits: int, seed: int):
-        super().__init__(table)
-        dim = self.matrix.shape[1] if self.matrix.size else 0
-        self.planes = np.random.default_rng(seed).standard_normal((tables, dim, bits))
-        self.codes = self._codes(self.matrix)
-
-    def _codes(self, matrix: np.ndarray) -> list[np.ndarray]:
-        weights = 1 << np.arange(self.planes.shape[2])
-        return [(matrix @ planes > 0) @ weights for planes in self.planes]
-
-    def scores(self, matrix: np.ndarray, norms: np.ndarray) -> np.ndarray:
-        found = np.full((len(self.ids), len(matrix)), -np.inf)
-        for own, theirs in zip(self.codes, self._codes(matrix), strict=True):
-            for code in np.intersect1d(own, theirs):
-                here, there = np.flatnonzero(own == code), np.flatnonzero(theirs == code)
-                found[np.ix_(here, there)] = score_block(
-                    matrix[there], norms[there], self.matrix[here], self.norms[here]
-                )
-        return found
+Matrix = Callable[[pa.RecordBatch], np.ndarray]
 
 
 class Best:
@@ -124,37 +91,73 @@ def dense(vectors: pa.Array) -> np.ndarray:
     return values.reshape(len(vectors), -1)
 
 
-def scan(
-    rows: DataFrame, block: QueryBlock, k: int, matrix_of: Callable[[pa.RecordBatch], np.ndarray]
-) -> tuple[DataFrame, Broadcast]:
-    """Each task's top k per query over its own rows; and the block as it was sent to the tasks."""
-    spark = rows.sparkSession
-    ship_package(spark)
-    shared = spark.sparkContext.broadcast(block)
+def block_rows(dim: int) -> int:
+    return min(MOST_ROWS, max(LEAST_ROWS, ROW_BYTES // (8 * dim)))
+
+
+def packed(rows: DataFrame, matrix_of: Matrix, size: int) -> DataFrame:
+    """(block, ids, matrix): the rows (id, ...) of each task in blocks of so many vectors, without those of no direction."""
+    ship_package(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = shared.value
-        best = Best(len(queries.ids), k)
-        step = min(MAX_ROWS_PER_STEP, max(1, PAIRS_PER_STEP // max(1, len(queries.ids))))
+        number = TaskContext.get().partitionId() << 32
+        ids, parts = [], []
         for batch in batches:
-            for start in range(0, batch.num_rows, step):
-                part = batch.slice(start, step)
+            for start in range(0, batch.num_rows, LEAST_ROWS):
+                part = batch.slice(start, LEAST_ROWS)
                 matrix = matrix_of(part)
-                norms = row_norms(matrix)
-                fit = usable(norms)
-                if len(queries.ids) and fit.any():
-                    ids = np.array(part.column("id").to_pylist(), dtype=str)[fit]
-                    best.add(ids, queries.scores(matrix[fit], norms[fit]))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(queries.ids[best.query].tolist() if len(best.query) else [], pa.string()),
-                pa.array(best.ids.tolist(), pa.string()),
-                pa.array(best.score, pa.float64()),
-            ],
-            schema=HITS,
-        )
-
-    return rows.mapInArrow(run, "query_id string, id string, score double"), shared
+                fit = usable(row_norms(matrix)) if len(matrix) else np.zeros(0, bool)
+                ids += np.array(part.column("id").to_pylist(), object)[fit].tolist()
+                parts.append(matrix[fit])
+                while len(ids) >= size:
+                    held = np.concatenate([found for found in parts if len(found)])
+                    yield as_block(number, ids[:size], held[:size])
+                    number, ids, parts = number + 1, ids[size:], [held[size:]]
+        if ids:
+            yield as_block(number, ids, np.concatenate([found for found in parts if len(found)]))
+
+    return rows.mapInArrow(run, BLOCK)
+
+
+def as_block(number: int, ids: list[str], matrix: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array([number]), pa.array([ids], pa.list_(pa.string())), pa.array([np.ascontiguousarray(matrix).tobytes()], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "matrix"])
+
+
+def matrix_of_block(raw: bytes, rows: int) -> np.ndarray:
+    return np.frombuffer(raw, np.float64).reshape(rows, -1)
+
+
+def scored_blocks(pairs: DataFrame, k: int) -> DataFrame:
+    """The k best hits per query of each task, from rows that hold a block of queries and one of vectors."""
+
+    def hits(asked: dict) -> Iterator[pa.RecordBatch]:
+        for ids, _, _, best in asked.values():
+            columns = [ids[best.query].tolist() if len(best.query) else [], best.ids.tolist(), best.score]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, HITS, strict=True)], schema=HITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: dict[int, tuple] = {}
+        for batch in batches:
+            for at in range(batch.num_rows):
+                number, raw = batch.column("query_block")[at].as_py(), batch.column("query_matrix")
+                if number not in asked:
+                    if len(asked) == QUERIES_HELD:
+                        yield from hits(asked)
+                        asked = {}
+                    ids = np.array(batch.column("query_ids")[at].as_py(), dtype=str)
+                    queries = matrix_of_block(raw[at].as_py(), len(ids))
+                    asked[number] = (ids, queries, row_norms(queries), Best(len(ids), k))
+                _, queries, norms, best = asked[number]
+                ids = np.array(batch.column("ids")[at].as_py(), dtype=str)
+                matrix = matrix_of_block(batch.column("matrix")[at].as_py(), len(ids))
+                row_sizes, step = row_norms(matrix), max(1, PAIRS_PER_STEP // len(queries))
+                for start in range(0, len(ids), step):
+                    part = slice(start, start + step)
+                    best.add(ids[part], score_block(matrix[part], row_sizes[part], queries, norms))
+        yield from hits(asked)
+
+    return pairs.mapInArrow(run, "query_id string, id string, score double")
 
 
 def ranked(hits: DataFrame, k: int) -> DataFrame:
@@ -170,92 +173,45 @@ def ranked(hits: DataFrame, k: int) -> DataFrame:
     return kept.drop("share").withColumn("rank", F.row_number().over(overall)).filter(F.col("rank") <= k)
 
 
-def query_blocks(queries: DataFrame, dim: int, block_bytes: int) -> Iterator[pa.Table]:
-    """The queries in tables of at most about block_bytes, one query for each id.
-
-    Of several vectors under one id, that of the least hash is asked for, however many blocks there are. Ids that stand
-    once also keep the blocks, which are cut by their hashes, within their bounds.
-    """
-    limit = max(1, block_bytes // (8 * dim))
+def of_queries(queries: DataFrame, dim: int) -> DataFrame:
+    """One query for each id: of several vectors under one id, that of the least hash is asked for."""
     queries = of_dimension(queries, "query_id", dim)
-    queries = queries.groupBy("query_id").agg(F.min_by("vector", F.xxhash64("vector")).alias("vector"))
-    first = queries.limit(limit + 1).toArrow()
-    if first.num_rows <= limit:
-        yield first
-        return
-    stored = written(queries, "queries")
-    # Blocks are filled to nine tenths on average; one that runs over is cut in two.
-    blocks = math.ceil(stored.count() / (0.9 * limit))
-    for block in range(blocks):
-        part = stored.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()
-        for start in range(0, part.num_rows, limit):
-            yield part.slice(start, limit)
-
-
-def _passes(rows, queries, k, dim, block_bytes, make_block, matrix_of) -> DataFrame:
-    """One pass per block. With several blocks each pass is finished and stored before the next block is fetched, so that
-    the driver and the executors hold one block at a time.
-    """
-    blocks = query_blocks(queries, dim, block_bytes)
-    block, following = next(blocks), next(blocks, None)
-    if following is None:
-        hits, _ = scan(rows, make_block(block), k, matrix_of)
-        return ranked(hits, k)
-    found = []
-    while block is not None:
-        hits, shared = scan(rows, make_block(block), k, matrix_of)
-        found.append(written(ranked(hits, k), "hits"))
-        shared.destroy()
-        block, following = following, next(blocks, None)
-    return reduce(DataFrame.unionByName, found)
+    return queries.groupBy("query_id").agg(F.min_by("vector", F.xxhash64("vector")).alias("vector"))
+
+
+def searched(rows: DataFrame, matrix_of: Matrix, queries: DataFrame, dim: int, k: int, block_bytes: int) -> DataFrame:
+    """Exact hits of all queries among rows whose vectors `matrix_of` gives."""
+    size = block_rows(dim)
+    asked = of_queries(queries, dim).withColumnRenamed("query_id", "id")
+    asked = packed(asked, lambda part: dense(part.column("vector")), size)
+    asked = written(asked.withColumn("n", F.size("ids")), "queries")
+    names = [F.col("block").alias("query_block"), F.col("ids").alias("query_ids"), F.col("matrix").alias("query_matrix")]
+    blocks, n_queries = packed(rows, matrix_of, size), asked.agg(F.sum("n")).first()[0] or 0
+    if n_queries * dim * 8 <= block_bytes:
+        # One group, told by the block's number so that it stays a join by key.
+        sent = F.broadcast(asked.select(F.pmod("block", F.lit(1)).alias("group"), *names))
+        pairs = blocks.withColumn("group", F.pmod("block", F.lit(1))).join(sent, "group")
+    else:
+        # Every group of vector blocks gets all query blocks once. The groups follow the number of vectors.
+        groups = max(1, math.ceil(rows.count() / (size * BLOCKS_PER_GROUP)))
+        every = asked.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), *names)
+        grouped = blocks.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
+        pairs = every.hint("merge").join(grouped, "group")
+    return ranked(scored_blocks(pairs, k), k)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, dim: int, k: int = TOP_K, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Exact: (query_id, rank, id, score) from (id, vector) and (query_id, vector)."""
     rows = of_dimension(vectors, "id", dim)
-    return _passes(rows, queries, k, dim, block_bytes, QueryBlock, lambda part: dense(part.column("vector")))
+    return searched(rows, lambda part: dense(part.column("vector")), queries, dim, k, block_bytes)
 
 
 def top_k_texts(
     texts: DataFrame, queries: DataFrame, embedder: Embedder, dim: int, k: int = TOP_K, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
-    """As top_k over (id, body) rows, embedding them in the scanning task so that no vector is stored or moved."""
+    """As top_k over (id, body) rows, embedding them in the task that packs them."""
     rows = texts.select(F.col("id").cast("string"), "body")
-    return _passes(rows, queries, k, dim, block_bytes, QueryBlock, lambda part: embedder(part.column("body").to_pylist()))
-
-
-def bucket_tables(recall: float, cosine: float, bits: int) -> int:
-    """Tables needed so that two vectors at this cosine share a bucket of some table with probability `recall`."""
-    same_bucket = (1 - math.acos(cosine) / math.pi) ** bits
-    return math.ceil(math.log(1 - recall) / math.log(1 - same_bucket))
-
-
-def top_k_approximate(
-    vectors: DataFrame,
-    queries: DataFrame,
-    dim: int,
-    k: int = TOP_K,
-    recall: float = 0.9,
-    cosine: float = 0.6,
-    bits: int = 6,
-    seed: int = 7,
-    block_bytes: int = BLOCK_BYTES,
-) -> DataFrame:
-    """As top_k, but only pairs that share a random-half-space bucket are scored; their scores are exact.
-
-    There are as many bucket tables as it takes to find a neighbour at the given cosine with the given probability.
-    """
-    tables = bucket_tables(recall, cosine, bits)
-    rows = of_dimension(vectors, "id", dim)
-    return _passes(
-        rows,
-        queries,
-        k,
-        dim,
-        block_bytes,
-        lambda table: BucketedBlock(table, tables, bits, seed),
-        lambda part: dense(part.column("vector")),
-    )
+    return searched(rows, lambda part: embedder(part.column("body").to_pylist()), queries, dim, k, block_bytes)
 
 
 def nearest(vectors: DataFrame, query: Column, k: int = TOP_K) -> DataFrame:

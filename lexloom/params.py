@@ -32,6 +32,9 @@ KIND_NAMES = {
 # Search and vectors.
 TOP_K = 10
 VECTOR_DIM = 1024
+GRAPH_M = 16
+GRAPH_EF_CONSTRUCTION = 200
+GRAPH_EF_SEARCH = 100
 
 # Prompt layout and model request.
 SYSTEM_TEXT = (
