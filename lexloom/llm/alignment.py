@@ -2,7 +2,8 @@
 
 A text's tokens under both are laid over its bytes. Where both have a token that ends, and the next token of both is marked
 with a space, the document is cut into windows of token ids. Most windows come again and again, so a window is aligned once
-and remembered under its ids.
+and remembered under its ids. No token of either reaches over a single space, so the ids of a whole text are those of the
+parts between its single spaces, which are windows or several of them; what is known of a part is remembered too.
 
 Texts are read twice. The first pass counts the links of id pairs, added up within each task; the second gives each document
 its figures. In between the most frequent pairs, at most HEAD_PAIRS of them, are sent to all tasks; links of other pairs are
@@ -33,8 +34,8 @@ from lexloom.session import ship_package, written
 
 #: Pairs whose counts every task holds, 13 bytes each. Pairs beyond them are joined.
 HEAD_PAIRS = 1_000_000
-#: When so many parts of texts, windows or token ids are known, all are forgotten.
-KNOWN_PARTS, KNOWN_WINDOWS, KNOWN_IDS = 700_000, 600_000, 12_000_000
+#: When so many parts of texts or links in their windows are known, all are forgotten.
+KNOWN_PARTS, KNOWN_IDS = 500_000, 8_000_000
 #: A token id of B in a window's key has this bit.
 OF_B = np.uint32(1 << 31)
 
@@ -129,54 +130,22 @@ class Signs(dict):
         return made
 
 
-class Parts:
-    """Token ids of whole texts under both tokenizers, put together from those of the parts between single spaces."""
+class Tokenizers:
+    """Both tokenizers; loaded once in a worker."""
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b, self.signs = ByteTokens(path_a), PieceTokens(path_b), Signs()
-        self._forget()
-
-    def _forget(self) -> None:
-        self._at, self._good = Numbers(), np.zeros(0, bool)
-        nothing = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
-        self._of_a, self._of_b = nothing, nothing
-
-    @staticmethod
-    def _grown(known: tuple, ids: np.ndarray, lengths: np.ndarray) -> tuple:
-        starts, old, held = known
-        return np.concatenate([starts, len(held) + np.cumsum(lengths) - lengths]), np.concatenate([old, lengths]), np.concatenate([held, ids])
 
-    def _learn(self, parts: list[str]) -> None:
+    def __call__(self, parts: list[str]) -> tuple[np.ndarray, list[list[int]], list[list[int]]]:
+        """(good, ids, ids) of texts: whether both give a space and the text back byte by byte; nothing where they don't."""
         of_a, of_b = self.a(parts), self.b(parts)
-        raw = [(" " + part).encode("utf-8", "surrogatepass") for part in parts]
+        raw = [(" " + part).encode() for part in parts]
         a, b = self.a.vocabulary.joined, self.b.vocabulary.joined
         good = [b(y) == part == a(x) for x, y, part in zip(of_a, of_b, raw, strict=True)]
-        self._good = np.concatenate([self._good, np.array(good, bool)])
-        self._of_a, self._of_b = self._grown(self._of_a, *flat(of_a)), self._grown(self._of_b, *flat(of_b))
-
-    @staticmethod
-    def _put_together(known: tuple, at: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        starts, lengths, ids = known
-        n = lengths[at]
-        ends = np.cumsum(n)
-        places = np.repeat(starts[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
-        return ids[places], np.concatenate([[0], ends])[bounds]
-
-    def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
-        """(tokens, A's ids, where each text's begin and end, the same for B); a text without tokens has none."""
-        if len(self._at) > KNOWN_PARTS or len(self._of_a[2]) > KNOWN_IDS:
-            self._forget()
-        numbers = []
-        for text in texts:
-            parts = text_parts(text)
-            numbers.append(np.fromiter(map(self._at.__getitem__, parts), np.int64, len(parts)))
-        if self._at.new:
-            self._learn(self._at.new)
-            self._at.new = []
-        numbers = [each if self._good[each].all() else each[:0] for each in numbers]
-        bounds = np.concatenate([[0], np.cumsum([len(each) for each in numbers])]).astype(np.int64)
-        at = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
-        return (*self._put_together(self._of_a, at, bounds), *self._put_together(self._of_b, at, bounds))
+        for at, same in enumerate(good):
+            if not same:
+                of_a[at], of_b[at] = [], []
+        return np.array(good, bool), of_a, of_b
 
 
 def text_parts(text: bytes | None) -> list[str]:
@@ -219,9 +188,6 @@ class Windows(Numbers):
         self._n_pairs = [np.concatenate([np.zeros(0, np.int64), *self._n_pairs])]
         return self._n_pairs[0]
 
-    def full(self) -> bool:
-        return len(self) > KNOWN_WINDOWS or self.n_ids > KNOWN_IDS
-
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The places of several ranges, one range after another."""
@@ -229,12 +195,14 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Laid:
-    """A batch of texts laid out in windows: which window stands where, and which windows are each text's."""
-
-    def __init__(self, parts: Parts, windows: Windows, texts: list[bytes | None]):
-        self.a, self.of_a, self.b, self.of_b = parts(texts)
-        a, b = self.a, self.b
-        self.ends_a, self.ends_b = np.cumsum(parts.a.vocabulary.lengths[a]), np.cumsum(parts.b.vocabulary.lengths[b])
+    """Texts laid out in windows: which window stands where, and which windows are each text's."""
+
+    def __init__(self, tokenizers: Tokenizers, windows: Windows, of_a: list[list[int]], of_b: list[list[int]]):
+        self.a, self.n_a = flat(of_a)
+        self.b, self.n_b = flat(of_b)
+        a, b, until = self.a, self.b, np.concatenate([[0], np.cumsum(self.n_a)])
+        vocabulary_a, vocabulary_b = tokenizers.a.vocabulary, tokenizers.b.vocabulary
+        self.ends_a, self.ends_b = np.cumsum(vocabulary_a.lengths[a]), np.cumsum(vocabulary_b.lengths[b])
         size = int(self.ends_a[-1]) + 1 if len(a) else 1
         self.in_a, self.in_b = np.zeros(size, bool), np.zeros(size, bool)
         self.in_a[self.ends_a], self.in_b[self.ends_b] = True, True
@@ -242,12 +210,12 @@ class Laid:
         # The next token of each shared end; behind the last one any will do, since a text's end is an anchor anyway.
         next_a, next_b = np.append(a, a[:1])[shared_a + 1], np.append(b, b[:1])[shared_b + 1]
         last = np.zeros(len(a) + 1, bool)
-        last[self.of_a] = True
-        anchors = last[shared_a + 1] | parts.a.vocabulary.spaced[next_a] & parts.b.vocabulary.spaced[next_b]
+        last[until] = True
+        anchors = last[shared_a + 1] | vocabulary_a.spaced[next_a] & vocabulary_b.spaced[next_b]
         self.until_a, self.until_b = shared_a[anchors] + 1, shared_b[anchors] + 1
-        self.n_groups = np.diff(np.searchsorted(shared_a, self.of_a))
-        self.of_windows = np.searchsorted(self.until_a, self.of_a, side="right")
-        self.signs, known = parts.signs, len(windows)
+        self.n_groups = np.diff(np.searchsorted(shared_a, until))
+        self.n_windows = np.diff(np.searchsorted(self.until_a, until, side="right"))
+        self.signs, known = tokenizers.signs, len(windows)
         self.windows = self._numbers(windows)
         self._learn(windows, known)
 
@@ -302,16 +270,53 @@ class Laid:
         bounds = np.cumsum(n_words).tolist()
         return ["".join(written_out[x:y])[:-1] for x, y in zip([0, *bounds], bounds, strict=False)]
 
-    def per_text(self, values: np.ndarray) -> np.ndarray:
-        """Sums over each text's windows of a value that every known window has."""
-        sums = np.concatenate([[0], np.cumsum(values[self.windows])])
-        return np.diff(sums[self.of_windows])
+
+class Parts:
+    """What is known of parts of texts: how many tokens and groups they have, and their windows."""
+
+    def __init__(self, tokenizers: Tokenizers, with_texts: bool):
+        self.tokenizers = tokenizers
+        self.windows = Windows(len(tokenizers.b.vocabulary.tokens), with_texts)
+        self.forget()
+
+    def forget(self) -> None:
+        self.windows.forget()
+        self._at = Numbers()
+        self._good, self._held = np.zeros(0, bool), np.zeros(0, np.int64)
+        self._n = np.zeros((4, 0), np.int64)
+
+    def full(self) -> bool:
+        return len(self._at) > KNOWN_PARTS or self.windows.n_ids > KNOWN_IDS
+
+    def learn(self, parts: list[str]) -> None:
+        good, of_a, of_b = self.tokenizers(parts)
+        laid = Laid(self.tokenizers, self.windows, of_a, of_b)
+        self._good, self._held = np.concatenate([self._good, good]), np.concatenate([self._held, laid.windows])
+        self._n = np.concatenate([self._n, np.stack([laid.n_a, laid.n_b, laid.n_groups, laid.n_windows])], axis=1)
+        self._starts = starts_of(self._n[3])
+
+    def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(n_a, n_b, n_groups as rows; all windows one after another; where each text's windows begin and end)."""
+        numbers = []
+        for text in texts:
+            parts = text_parts(text)
+            numbers.append(np.fromiter(map(self._at.__getitem__, parts), np.int64, len(parts)))
+        if self._at.new:
+            self.learn(self._at.new)
+            self._at.new = []
+        numbers = [each if self._good[each].all() else each[:0] for each in numbers]
+        at = np.concatenate([np.zeros(0, np.int64), *numbers])
+        bounds = np.cumsum([0, *map(len, numbers)])
+        n = self._n[:, at]
+        sums = np.concatenate([np.zeros((4, 1), np.int64), np.cumsum(n, axis=1)], axis=1)[:, bounds]
+        windows = self._held[ranges(self._starts[at], n[3])] if len(at) else at
+        return np.diff(sums[:3], axis=1), windows, sums[3]
 
 
 @lru_cache(1)
-def known_parts(path_a: str, path_b: str) -> Parts:
+def tokenizers_of(path_a: str, path_b: str) -> Tokenizers:
     """One for all tasks of a worker."""
-    return Parts(path_a, path_b)
+    return Tokenizers(path_a, path_b)
 
 
 def starts_of(lengths: np.ndarray) -> np.ndarray:
@@ -319,9 +324,9 @@ def starts_of(lengths: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(1)
-def counted_windows(width: int) -> Windows:
+def counted_parts(path_a: str, path_b: str) -> Parts:
     """One for all counting tasks of a worker."""
-    return Windows(width, with_texts=False)
+    return Parts(tokenizers_of(path_a, path_b), with_texts=False)
 
 
 def pair_sums(windows: Windows, times: np.ndarray) -> pa.RecordBatch:
@@ -341,20 +346,19 @@ def count_links(path_a: str, path_b: str) -> Callable[[Iterator[pa.RecordBatch]]
     """Links of each pair, added up in the task before they leave it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = known_parts(path_a, path_b)
-        windows, times = counted_windows(len(parts.b.vocabulary.tokens)), np.zeros(0, np.int64)
+        parts, times = counted_parts(path_a, path_b), np.zeros(0, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, TEXT_ROWS):
-                laid = Laid(parts, windows, batch.slice(at, TEXT_ROWS).column("text").to_pylist())
-                seen = np.bincount(laid.windows, minlength=len(times))
+                _, windows, _ = parts(batch.slice(at, TEXT_ROWS).column("text").to_pylist())
+                seen = np.bincount(windows, minlength=len(times))
                 seen[: len(times)] += times
                 times = seen
-                if windows.full():
-                    yield pair_sums(windows, times)
-                    windows.forget()
+                if parts.full():
+                    yield pair_sums(parts.windows, times)
+                    parts.forget()
                     times = np.zeros(0, np.int64)
         if len(times):
-            yield pair_sums(windows, times)
+            yield pair_sums(parts.windows, times)
 
     return run
 
@@ -380,12 +384,12 @@ class Head:
 class Scored:
     """Sums over the links of each known window, and the pairs whose counts are not at hand."""
 
-    def __init__(self, windows: Windows, head: Head):
-        self.windows, self._head = windows, head
+    def __init__(self, parts: Parts, head: Head):
+        self.parts, self.windows, self._head = parts, parts.windows, head
         self.forget()
 
     def forget(self) -> None:
-        self.windows.forget()
+        self.parts.forget()
         self.links, self.counts, self.best, self.n_rest = (np.zeros(0, np.int64) for _ in range(4))
         self.rest: dict[int, list[int]] = {}
 
@@ -413,12 +417,12 @@ def known_scores(head_id: str) -> list[Scored]:
     return []
 
 
-def rest_of(laid: Laid, scored: Scored) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def rest_of(windows: np.ndarray, bounds: np.ndarray, scored: Scored) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Pairs of each text that the head does not have, and how often each is linked in it."""
     pairs, times = [], []
-    lacking = scored.n_rest[laid.windows] > 0
-    for start, end in zip(laid.of_windows, laid.of_windows[1:], strict=False):
-        here = laid.windows[start:end][lacking[start:end]].tolist()
+    lacking = scored.n_rest[windows] > 0
+    for start, end in zip(bounds, bounds[1:], strict=False):
+        here = windows[start:end][lacking[start:end]].tolist()
         found = np.array([pair for at in here for pair in scored.rest[at]], np.int64)
         found, n = np.unique(found, return_counts=True)
         pairs.append(found)
@@ -426,6 +430,11 @@ def rest_of(laid: Laid, scored: Scored) -> tuple[list[np.ndarray], list[np.ndarr
     return pairs, times
 
 
+def per_text(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    sums = np.concatenate([[0], np.cumsum(values)])
+    return pa.array(np.diff(sums[bounds]), pa.int64())
+
+
 def figures(
     path_a: str, path_b: str, shared_head: Broadcast, head_id: str, with_groups: bool
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -433,28 +442,23 @@ def figures(
     names = [*FIGURE_NAMES, "row", "rest", "rest_times", *(["groups"] if with_groups else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = known_parts(path_a, path_b)
-        counted_windows.cache_clear()
-        held = known_scores(head_id)
+        counted_parts.cache_clear()
+        held, row = known_scores(head_id), TaskContext.get().partitionId() << 40
         if not held:
-            held.append(Scored(Windows(len(parts.b.vocabulary.tokens), True), shared_head.value))
-        scored, row = held[0], TaskContext.get().partitionId() << 40
+            held.append(Scored(Parts(tokenizers_of(path_a, path_b), True), shared_head.value))
+        scored = held[0]
         for batch in batches:
             for at in range(0, batch.num_rows, TEXT_ROWS):
                 part = batch.slice(at, TEXT_ROWS)
-                laid = Laid(parts, scored.windows, part.column("text").to_pylist())
+                counts, windows, bounds = scored.parts(part.column("text").to_pylist())
                 scored.learn()
-                texts, numbers, bounds = scored.windows.texts, laid.windows.tolist(), laid.of_windows.tolist()
+                texts, numbers = scored.windows.texts, windows.tolist()
                 groups = [";".join([texts[w] for w in numbers[x:y]]) for x, y in zip(bounds, bounds[1:], strict=False)]
-                rest, times = rest_of(laid, scored)
+                rest, times = rest_of(windows, bounds, scored)
                 columns = [
                     part.column("doc_id"),
-                    pa.array(np.diff(laid.of_a)),
-                    pa.array(np.diff(laid.of_b)),
-                    pa.array(laid.n_groups.astype(np.int64)),
-                    pa.array(laid.per_text(scored.links)),
-                    pa.array(laid.per_text(scored.best)),
-                    pa.array(laid.per_text(scored.counts)),
+                    *(pa.array(each, pa.int64()) for each in counts),
+                    *(per_text(values[windows], bounds) for values in (scored.links, scored.best, scored.counts)),
                     pa.array([hashlib.sha256(text.encode()).hexdigest() if text else "" for text in groups], pa.string()),
                     pa.array(np.arange(row, row + part.num_rows)),
                     lists(rest, pa.int64()),
@@ -463,7 +467,7 @@ def figures(
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
                 row += part.num_rows
-                if scored.windows.full():
+                if scored.parts.full():
                     scored.forget()
 
     return run
