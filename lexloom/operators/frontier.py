@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.operators.extract import frontier_links, scrape
-from lexloom.operators.store import BROADCAST_ROWS, lookup
+from lexloom.operators.store import lookup
 from lexloom.params import MAX_RECEIVES, SEED_URL
-from lexloom.session import work_path, written
+from lexloom.session import ship_package, work_path, written, written_counted
 
 
-LEVEL = "url string, depth int"
-#: Edges followed in one round.
-HOPS = 4
+DEPTHS = "url string, depth int, origin int"
+#: Edges that one task follows at a time.
+EDGES_PER_BLOCK = 400_000
 
 
 def not_among(given: DataFrame, known: DataFrame, key: str) -> DataFrame:
@@ -42,37 +46,63 @@ def seeds_or_default(spark: SparkSession, seeds: DataFrame, default: str = SEED_
     return seeds.select("url") if not seeds.isEmpty() else fallback
 
 
-def crawl_closure(edges: DataFrame, seeds: DataFrame, hops: int = HOPS) -> DataFrame:
-    """(url, depth) of everything reachable from the seeds over (src, dst) edges, breadth first.
-
-    A round follows the edges `hops` times from the newest level and keeps each new URL's least depth, which is exact:
-    the shortest way to a URL that is not yet visited leads over that level. What each round finds is stored under one
-    folder, which is all that was visited, so a lost executor costs a round's rereading, the plan stays as short as in
-    the first round, and deep graphs take fewer rounds. Spark knows the sizes of the stored tables: it sends a small level
-    to the edges, which then stay in place. Once many are visited, they are first cut down to the few that the round has
-    reached, where they lie, and so are read but not moved.
+def in_blocks(edges: DataFrame, n: int, per_block: int) -> DataFrame:
+    """Edges with `block`: those of one source together, or spread over several blocks where they are too many for one."""
+    blocks = max(1, math.ceil(n / per_block))
+    hubs = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > per_block)
+    hubs = hubs.select("src", F.ceil(F.col("n") / per_block).alias("parts"))
+    part = F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1)))
+    place = F.pmod(F.pmod(F.xxhash64("src"), F.lit(blocks)) + part, F.lit(blocks)).cast("int")
+    return edges.join(hubs, "src", "left").select("src", "dst", place.alias("block"))
+
+
+def walked(starts: pa.Table, edges: pa.Table) -> pa.Table:
+    """Least depths of all that the edges of one block reach from starts (block, url, depth)."""
+    block = starts.column("block")[0].as_py()
+    ways, pending, least = defaultdict(list), defaultdict(list), {}
+    for src, dst in zip(edges.column("src").to_pylist(), edges.column("dst").to_pylist(), strict=True):
+        ways[src].append(dst)
+    for url, depth in zip(starts.column("url").to_pylist(), starts.column("depth").to_pylist(), strict=True):
+        pending[depth].append(url)
+    while pending:
+        depth = min(pending)
+        for url in pending.pop(depth):
+            if least.get(url, depth + 1) > depth:
+                least[url] = depth
+                pending[depth + 1] += [dst for dst in ways.get(url, ()) if least.get(dst, depth + 2) > depth + 1]
+        if not pending.get(depth + 1, True):
+            del pending[depth + 1]
+    columns = [pa.array(least.keys(), pa.string()), pa.array(least.values(), pa.int32()), pa.array([block] * len(least), pa.int32())]
+    return pa.Table.from_arrays(columns, names=["url", "depth", "origin"])
+
+
+def crawl_closure(edges: DataFrame, seeds: DataFrame, per_block: int = EDGES_PER_BLOCK) -> DataFrame:
+    """(url, depth) of everything reachable from the seeds over (src, dst) edges, with the fewest edges to it.
+
+    Edges lie in blocks of a bounded number. In a round each block that has news follows its own edges as far as they lead,
+    and what came out nearer than known is news for the other blocks in which it has edges. Depths only fall, so that when
+    there is no more news they are the least ones. A deep graph takes as many rounds as its shortest ways change blocks, and
+    a small one a single round. Rounds are stored, so a lost executor costs a rereading.
     """
     spark = edges.sparkSession
-    edges = written(edges.select("src", "dst").distinct(), "edges")
-    folder, number, depth = work_path(spark, "levels"), 0, 0
-    n = total = _store_round(seeds.select("url").distinct().withColumn("depth", F.lit(0)), folder, number)
+    ship_package(spark)
+    edges, n = written_counted(edges.select("src", "dst").filter("src is not null and dst is not null").distinct(), "edges")
+    edges = written(in_blocks(edges, n, per_block), "blocks")
+    sources = written(edges.select(F.col("src").alias("url"), "block").distinct(), "sources")
+    folder, number = work_path(spark, "depths"), 0
+    news = seeds.select("url").distinct().select("url", F.lit(0).alias("depth"), F.lit(-1).alias("origin"))
+    n = _store_round(news, folder, number)
     while n:
-        level = spark.read.schema(LEVEL).parquet(f"{folder}/round={number}").filter(F.col("depth") == depth)
-        visited = spark.read.schema(LEVEL).parquet(folder).select("url")
-        found, reached = None, level.select("url")
-        for hop in range(1, hops + 1):
-            sources = reached.withColumnRenamed("url", "src")
-            reached = edges.join(sources, "src").select(F.col("dst").alias("url")).distinct()
-            here = reached.withColumn("depth", F.lit(depth + hop))
-            found = here if found is None else found.unionByName(here)
-        found = found.groupBy("url").agg(F.min("depth").alias("depth"))
-        if total > BROADCAST_ROWS:
-            found = written(found, "reached")
-            visited = visited.join(found.select("url"), "url", "left_semi")
-        number, depth = number + 1, depth + hops
-        n = _store_round(found.join(visited, "url", "left_anti"), folder, number)
-        total += n
-    return spark.read.schema(LEVEL).parquet(folder).select("url", "depth")
+        news = spark.read.schema(DEPTHS).parquet(f"{folder}/round={number}")
+        starts = news.join(sources, "url").filter("block <> origin").select("block", "url", "depth")
+        here = edges.join(starts.select("block").distinct(), "block", "left_semi")
+        found = starts.groupBy("block").cogroup(here.groupBy("block")).applyInArrow(walked, DEPTHS)
+        found = found.groupBy("url").agg(F.min(F.struct("depth", "origin")).alias("to"))
+        known = spark.read.schema(DEPTHS).parquet(folder).groupBy("url").agg(F.min("depth").alias("known"))
+        nearer = found.join(known, "url", "left").filter("known is null or known > to.depth").select("url", "to.depth", "to.origin")
+        number += 1
+        n = _store_round(nearer, folder, number)
+    return spark.read.schema(DEPTHS).parquet(folder).groupBy("url").agg(F.min("depth").alias("depth"))
 
 
 def _store_round(found: DataFrame, folder: str, number: int) -> int:

@@ -51,8 +51,12 @@ def test_closure_with_cycles_and_a_hub(spark):
         level = {d for s, d in edges if s in level} - depths.keys()
         depths.update(dict.fromkeys(level, depth))
     frame = spark.createDataFrame([(str(s), str(d)) for s, d in edges], "src string, dst string")
-    found = fr.crawl_closure(frame, spark.createDataFrame([("1",)], "url string"))
-    assert {int(r.url): r.depth for r in found.collect()} == depths
+    seeds = spark.createDataFrame([("1",), ("1",)], "url string")
+    for per_block in (400_000, 7):
+        rows = fr.crawl_closure(frame, seeds, per_block).collect()
+        assert {int(r.url): r.depth for r in rows} == depths and len(rows) == len(depths)
+    blocks = fr.in_blocks(frame.distinct(), frame.distinct().count(), 7).groupBy("src", "block").count()
+    assert blocks.agg(F.max("count")).first()[0] <= 14 and fr.crawl_closure(frame.limit(0), seeds).collect() == [("1", 0)]
 
 
 def test_schedule_over_several_ranges(spark):
