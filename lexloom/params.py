@@ -63,6 +63,7 @@ DEAD_LETTER_RETENTION_DAYS = 14
 MESSAGE_RETENTION_DAYS = 7
 MESSAGE_MAX_BYTES = 10 * 1024
 MAX_RECEIVES = 2
+HIDDEN_MS = 3 * 60 * 1000
 MAX_CRAWL_WORKERS = 6
 SCALE_IN_UPPER = 0.99
 SCALE_OUT_LOWER = 1.0

@@ -7,10 +7,11 @@ pins when it first runs.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from lexloom.functions.text import chunk_id_of_key, raw_object_key
 from lexloom.operators import answer as an
@@ -22,7 +23,8 @@ from lexloom.operators.frontier import fetch_outcome
 from lexloom.operators.keyed_table import Batch, KeyedTable
 from lexloom.operators.store import latest_per_key, lookup
 from lexloom.operators.vector_table import VectorTable
-from lexloom.session import written
+from lexloom.params import HIDDEN_MS, MAX_RECEIVES
+from lexloom.session import ship_package, written
 from lexloom.sources import events as messages
 from lexloom.sources.tables import spread
 
@@ -175,6 +177,54 @@ def answer_sink(
     return sink
 
 
+class Deliveries(StatefulProcessor):
+    """Failed receives of each message. A failure hides the message for a while; when that is over, it is due again or dead."""
+
+    def __init__(self, hidden_ms: int, max_receives: int):
+        self._hidden_ms, self._max_receives = hidden_ms, max_receives
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._failed = handle.getValueState("failed", "failures long, hidden_until long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        failures, before = self._failed.get() if self._failed.exists() else (0, 0)
+        until = before
+        for row in rows:
+            failures, until = failures + 1, max(until, int(row["at_ms"]) + self._hidden_ms)
+        self._failed.update((failures, until))
+        if until != before:
+            if before:
+                self._handle.deleteTimer(before)
+            self._handle.registerTimer(until)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        failures, _ = self._failed.get()
+        state = "dead_letter" if failures >= self._max_receives else "retry"
+        yield Row(message=key[0], failures=failures, state=state)
+
+
+def deliveries(failed: DataFrame, hidden_ms: int = HIDDEN_MS, max_receives: int = MAX_RECEIVES) -> DataFrame:
+    """(message, failures, state) from failed receives (message, ts) as a stream, each time a message is due again or dead.
+
+    Time is that of the events: a message is hidden until the watermark has passed its last failure by `hidden_ms`.
+    """
+    rows = failed.withWatermark("ts", "0 seconds").select("message", "ts", F.unix_millis("ts").alias("at_ms"))
+    schema = "message string, failures long, state string"
+    ship_package(failed.sparkSession)
+    return rows.groupBy("message").transformWithState(Deliveries(hidden_ms, max_receives), schema, "append", "eventTime")
+
+
+def delivery_sink(out: str) -> BatchSink:
+    """The latest state of each message that failed."""
+
+    def sink(states: DataFrame, batch: Batch | int) -> None:
+        write_batch(latest_per_key(states, ["message"], ["failures"]), out, batch, ["message"])
+
+    return sink
+
+
 def unseen_urls(urls: DataFrame) -> DataFrame:
     """The first arrival of each URL. Like the seen set it replaces, the state has no expiry."""
     return urls.dropDuplicates(["url"])
