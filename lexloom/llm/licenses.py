@@ -164,6 +164,9 @@ RULES = (
     *((tag, kind, (name,)) for name, (tag, kind) in SPDX_TAGS.items()),
 )
 
+#: Longer notices first, so that none stands behind a rule that would use its first sentences up.
+RULES = tuple(sorted(RULES, key=lambda rule: -len(rule[2])))
+
 #: Every known sentence has one of these words, so a text without them has no known sentence.
 HINTS = ("licens", "permission", "copyright", "redistribut", "free software", "reserved", "public domain")
 #: Other sentences, list numbers (which don't part the sentences of a rule) and sentences that a rule has used up.

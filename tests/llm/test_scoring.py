@@ -291,3 +291,15 @@ def test_fingerprints_of_odd_rows(odd_docs, no_docs):
     assert len(alone) == 1 and alone[0].near_next == 1
     found = sketches.fingerprints(odd_docs).collect()
     assert len(found) == odd_docs.count() and next(row.n_distinct for row in found if row.doc_id == 7) == 1
+
+
+def test_no_licence_rule_stands_behind_its_own_beginning(spark):
+    from lexloom.llm.licenses import RULES, license_scan
+
+    for at, (_, _, names) in enumerate(RULES):
+        assert not any(names[: len(before)] == before for _, _, before in RULES[:at] if len(before) < len(names))
+    notice = (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+        "published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    )
+    assert license_scan(spark.createDataFrame([(1, notice)], "doc_id long, text string")).first().licenses == "GPL-2.0-or-later notice"
