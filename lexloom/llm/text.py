@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -70,6 +71,20 @@ def as_binary(text: Column) -> Column:
     return text.cast("string").cast("binary")
 
 
+def given_back(run: Callable) -> None:
+    """Drops what a function object has learned in a task, and gives its memory back to the system.
+
+    Workers outlive their tasks, and several kinds of tasks share an executor.
+    """
+    state = run.__getstate__() if hasattr(run, "__dict__") else None
+    if isinstance(state, dict):
+        run.__dict__.update(state)
+    pa.default_memory_pool().release_unused()
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if free:
+        free(0)
+
+
 def map_batches(rows: DataFrame, run: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, size: int = TEXT_ROWS) -> DataFrame:
     """Applies a function to short slices of Arrow batches; it may be an object with state of its own."""
     ship_package(rows.sparkSession)
@@ -80,6 +95,7 @@ def map_batches(rows: DataFrame, run: Callable[[pa.RecordBatch], pa.RecordBatch
                 made = run(batch.slice(start, size))
                 if made is not None and made.num_rows:
                     yield made
+        given_back(run)
 
     return rows.mapInArrow(each, schema)
 
