@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.text import row_key
+from lexloom.llm.text import TEXT_ROWS, row_key
 from lexloom.session import ship_package
 
 #: A line with its line end; a sentence with the white space after it, which full-width end marks (U+3002, U+FF01, U+FF1F)
@@ -81,10 +81,15 @@ def without(docs: DataFrame, removed: DataFrame, end: re.Pattern, id_column: str
     same = F.col("k_id").eqNullSafe(F.col("of_id")) & (F.col("k_text") == F.col("of_text"))
     rows = rows.join(spans, same, "left").select("row", "spans")
 
-    @F.pandas_udf("text binary, n_parts long, n_removed long")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        made = [_cut(text, gone, end) for text, gone in zip(texts, spans, strict=True)]
-        return pd.DataFrame(made, columns=["text", "n_parts", "n_removed"])
+    @F.arrow_udf("text binary, n_parts long, n_removed long")
+    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        parts = []
+        for start in range(0, len(texts), TEXT_ROWS):
+            rows = zip(texts.slice(start, TEXT_ROWS).to_pylist(), spans.slice(start, TEXT_ROWS).to_pylist(), strict=True)
+            made = zip(*(_cut(text, gone, end) for text, gone in rows), strict=True)
+            columns = [pa.array(column, kind) for column, kind in zip(made, (pa.binary(), pa.int64(), pa.int64()), strict=True)]
+            parts.append(pa.StructArray.from_arrays(columns, names=["text", "n_parts", "n_removed"]))
+        return pa.concat_arrays(parts) if parts else pa.nulls(0, pa.struct([("text", pa.binary()), ("n_parts", pa.int64()), ("n_removed", pa.int64())]))
 
     text = F.col("row").getField(text_column).cast("string")
     made = rows.select("row", "spans", cut(text.cast("binary"), F.col("spans")).alias("made"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -270,18 +269,20 @@ def score_column(docs: DataFrame, model: QualityModel | None) -> Column:
     ship_package(docs.sparkSession)
     shared, views = docs.sparkSession.sparkContext.broadcast(model), Views()
 
-    @F.pandas_udf("text_score double, metadata_score double, score double")
-    def score(texts: pd.Series, sources: pd.Series, langs: pd.Series) -> pd.DataFrame:
+    names = ["text_score", "metadata_score", "score"]
+
+    @F.arrow_udf(", ".join(f"{name} double" for name in names))
+    def score(texts: pa.Array, sources: pa.Array, langs: pa.Array) -> pa.Array:
         fitted, parts = shared.value, []
         for start in range(0, len(texts), TEXT_ROWS):
-            part = slice(start, start + TEXT_ROWS)
+            columns = [column.slice(start, TEXT_ROWS).to_pylist() for column in (texts, sources, langs)]
             odds = []
-            for view, logistic in zip(views.both(texts[part], sources[part], langs[part]), (fitted.text, fitted.metadata), strict=True):
+            for view, logistic in zip(views.both(*columns), (fitted.text, fitted.metadata), strict=True):
                 rows = Rows(lists([i for i, _ in view], pa.int32()), lists([v for _, v in view], pa.float32()))
                 odds.append(logistic.logits(rows))
             parts.append(np.stack([sigmoid(odds[0]), sigmoid(odds[1]), fitted.combined(*odds)], axis=1))
         made = np.concatenate(parts) if parts else np.zeros((0, 3))
-        return pd.DataFrame(made, columns=["text_score", "metadata_score", "score"])
+        return pa.StructArray.from_arrays([pa.array(column) for column in made.T], names=names)
 
     return score(*_inputs(docs))
 

@@ -8,7 +8,6 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -137,9 +136,10 @@ def with_next(docs: DataFrame, id_column: str, text_column: str, range_bytes: in
     rows = docs.select(order.alias("id"), F.col(id_column).isNull().alias("no_id"), F.xxhash64(text).alias("t"), as_binary(text).alias("text"))
     bounds = _bounds(rows, range_bytes)
 
-    @F.pandas_udf("int")
-    def range_of(ids: pd.Series, hashes: pd.Series) -> pd.Series:
-        return pd.Series([bisect_right(bounds, pair) for pair in zip(ids, hashes, strict=True)], dtype="int32")
+    @F.arrow_udf("int")
+    def range_of(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        pairs = zip(ids.to_pylist(), hashes.to_pylist(), strict=True)
+        return pa.array([bisect_right(bounds, pair) for pair in pairs], pa.int32())
 
     rows = rows.withColumn("range", range_of("id", "t") if bounds else F.lit(0))
     firsts = rows.groupBy("range").agg(F.min(F.struct("id", "t")).alias("first")).select("range", "first.*").orderBy("range").collect()
