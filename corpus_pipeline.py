@@ -16,7 +16,11 @@ from lexloom.sources.tables import table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifiers accept; rejected ones go."""
+    """Documents that the co-trained classifiers accept; rejected ones go.
+
+    Null and empty texts, repeated rows and rows without an id are judged like any other and stay as they are, columns of
+    any name included. Scores at the limit are accepted. Without labels of both kinds all stay.
+    """
     return accepted(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
@@ -25,23 +29,37 @@ NEAR_PERCENT = 80
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of repeated line runs; one of which nothing is left goes. n_chars follows the text."""
+    """Documents without later copies of repeated line runs; one of which nothing is left goes. n_chars follows the text.
+
+    Null and empty texts stay. Rows alike in id and text lose the same lines; of several documents the smallest id keeps a
+    run, rows without an id first, then that of the least hash of its text. Other columns stay, whatever their names.
+    """
     return replaced(line_deduplicated(docs), docs, "text", "n_chars")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest id. Rows that share an id stay or go together."""
+    """One document of each group of near duplicates, that of the smallest id. Rows that share an id stay or go together.
+
+    Null and empty texts are like nothing and stay, as do rows without an id. Other columns stay, whatever their names.
+    """
     gone = near_duplicates(docs, percent=NEAR_PERCENT).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix of its source takes it."""
+    """Every document as often as the mix of its source takes it.
+
+    A null source is a source. Null and empty texts have no words and take no part of a target; ties of size go by the ids'
+    hashes. Other columns stay, whatever their names.
+    """
     return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of the documents with their sequences and places."""
+    """Token pieces of the documents with their sequences and places.
+
+    A null or empty text is the end id alone, repeated rows are packed each for itself, and no rows give no pieces.
+    """
     return pack(docs)
 
 
