@@ -121,7 +121,7 @@ class KeyedTable:
 
     def _rows(self, entry: dict, buckets) -> DataFrame:
         schema = StructType.fromJson(json.loads(entry["schema"]))
-        folders = [f"{self.path}/data/{entry['folders'][b]}/bucket={b}" for b in sorted(buckets) if b in entry["folders"]]
+        folders = [f"{self.path}/data/{folder}/bucket={b}" for b in sorted(buckets) for folder in entry["folders"].get(b, ())]
         return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
     @staticmethod
@@ -132,8 +132,9 @@ class KeyedTable:
         """Puts the rows in place of those with their keys, without the keys in `removed`, as one commit; its number.
 
         Rows of equal keys in one batch: that of the greatest hash stays. A batch whose number its writer has passed is
-        known already and changes nothing. Old rows are read bucket by bucket and never shuffled while the changed keys
-        are few enough to be sent to them.
+        known already and changes nothing. New rows are written once, in their buckets. Of the buckets that they touch,
+        the old rows that stay are written beside them; these are never shuffled while the changed keys are few enough to
+        be sent to them.
         """
         batch = as_batch(batch)
         self.init()
@@ -141,26 +142,33 @@ class KeyedTable:
         if self._known(entry, batch):
             return entry["version"]
         schema, keys = StructType.fromJson(json.loads(entry["schema"])), entry["keys"]
-        stored = written(rows.select(*schema.names).withColumn("bucket", self._bucket(entry)), "changes")
-        changes = one_per_key(stored, keys)
-        gone = changes.select(*keys, "bucket")
+        new = self._stored(rows.select(*schema.names), entry)
+        changes = self._folder_rows(new, schema)
+        if not changes.groupBy(*keys).count().filter("count > 1").isEmpty():
+            repeated, new = new, self._stored(one_per_key(changes, keys), entry)
+            self._files.delete(f"{self.path}/data/{repeated}")
+            changes = self._folder_rows(new, schema)
+        gone = changes.select(*keys)
+        touched = set(self._filled(new))
         if removed is not None:
-            gone = gone.unionByName(removed.select(*keys).withColumn("bucket", self._bucket(entry))).distinct()
-        touched = [str(row.bucket) for row in gone.select("bucket").distinct().collect()]
-        folder = self._merged(entry, changes, gone, touched)
+            taken = written(removed.select(*keys).withColumn("bucket", self._bucket(entry)), "removed")
+            touched |= {str(row.bucket) for row in taken.select("bucket").distinct().collect()}
+            gone = gone.unionByName(taken.drop("bucket")).distinct()
+        old = self._left(entry, gone, touched)
         while True:
             made = {name: entry[name] for name in ("schema", "keys", "buckets")}
-            made["folders"] = {b: f for b, f in entry["folders"].items() if b not in touched} | {b: folder for b in self._filled(folder)}
+            made["folders"] = {b: folders for b, folders in entry["folders"].items() if b not in touched}
+            for folder in (new, *([old] if old else [])):
+                for b in self._filled(folder):
+                    made["folders"].setdefault(b, []).append(folder)
             made["writers"] = entry["writers"] | {batch.writer: batch.number}
             if self._files.create(self._entry_path(entry["version"] + 1), json.dumps(made)):
                 return entry["version"] + 1
             before, entry = entry, self.entry()
             if self._known(entry, batch):
-                self._files.delete(f"{self.path}/data/{folder}")
                 return entry["version"]
             if any(before["folders"].get(b) != entry["folders"].get(b) for b in touched):
-                self._files.delete(f"{self.path}/data/{folder}")
-                folder = self._merged(entry, changes, gone, touched)
+                old = self._left(entry, gone, touched)
 
     @staticmethod
     def _known(entry: dict, batch: Batch) -> bool:
@@ -169,17 +177,26 @@ class KeyedTable:
     def _filled(self, folder: str) -> list[str]:
         return [name.partition("=")[2] for name in self._files.names(f"{self.path}/data/{folder}") if name.startswith("bucket=")]
 
-    def _merged(self, entry: dict, changes: DataFrame, gone: DataFrame, touched: list[str]) -> str:
-        """Writes the touched buckets anew: what is left of their old rows, and the changes."""
+    def _stored(self, rows: DataFrame, entry: dict) -> str:
+        """Writes the rows in their buckets to a folder of their own, one file or few in each."""
         folder = uuid.uuid4().hex
-        new = changes.repartition(max(1, len(touched)), "bucket")
-        if any(b in entry["folders"] for b in touched):
-            old = self._rows(entry, touched)
-            changed = small(gone.select(*(F.col(key).alias(f"_{key}") for key in entry["keys"])))
-            same = [F.col(key).eqNullSafe(F.col(f"_{key}")) for key in entry["keys"]]
-            left = old.join(changed, same, "left_anti").withColumn("bucket", self._bucket(entry))
-            new = left.select(*new.columns).unionByName(new)
-        new.write.partitionBy("bucket").parquet(f"{self.path}/data/{folder}")
+        rows.withColumn("bucket", self._bucket(entry)).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/data/{folder}")
+        return folder
+
+    def _folder_rows(self, folder: str, schema: StructType) -> DataFrame:
+        """The rows of a folder, whatever buckets it has."""
+        filled = [f"{self.path}/data/{folder}/bucket={b}" for b in self._filled(folder)]
+        return self.spark.read.schema(schema).parquet(*filled) if filled else self.spark.createDataFrame([], schema)
+
+    def _left(self, entry: dict, gone: DataFrame, touched: set[str]) -> str | None:
+        """The folder with what is left of the old rows of these buckets without the keys that are gone; None for nothing."""
+        if not any(b in entry["folders"] for b in touched):
+            return None
+        changed = small(gone.select(*(F.col(key).alias(f"_{key}") for key in entry["keys"])))
+        same = [F.col(key).eqNullSafe(F.col(f"_{key}")) for key in entry["keys"]]
+        left = self._rows(entry, touched).join(changed, same, "left_anti")
+        folder = uuid.uuid4().hex
+        left.withColumn("bucket", self._bucket(entry)).write.partitionBy("bucket").parquet(f"{self.path}/data/{folder}")
         return folder
 
     def pinned(self, batch: Batch | int) -> int:
@@ -192,7 +209,7 @@ class KeyedTable:
     def clean(self, keep: int = 2) -> None:
         """Deletes the folders that none of the last versions holds. Readers of older versions must have ended."""
         version = self.version()
-        held = {f for v in range(max(0, version - keep + 1), version + 1) for f in self.entry(v)["folders"].values()}
+        held = {f for v in range(max(0, version - keep + 1), version + 1) for each in self.entry(v)["folders"].values() for f in each}
         for name in self._files.names(f"{self.path}/data"):
             if name not in held:
                 self._files.delete(f"{self.path}/data/{name}")

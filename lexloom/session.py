@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import shutil
 import tempfile
@@ -61,6 +62,11 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{_work_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def kept_path(spark: SparkSession, name: str, of: str) -> str:
+    """The path of a table that this application makes once for each input `of`, and then finds again."""
+    return f"{_work_folder(spark)}/{name}-{hashlib.sha256(of.encode()).hexdigest()[:32]}"
+
+
 def _work_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/lexloom/{spark.sparkContext.applicationId}"
 
