@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import is_localhost_url, raw_object_key
+from lexloom.operators.dated_table import DatedTable
+from lexloom.operators.keyed_table import Batch
 from lexloom.operators.answer import outbound_message
 from lexloom.operators.chunk import document_chunks
 from lexloom.operators.frontier import seeds_or_default
@@ -189,6 +191,18 @@ def retention_filter(spark, sf):
     )
 
 
+def retention_store(spark, sf):
+    """Events stored in three batches, then expired as pages and brought together; what a reader is left with."""
+    events = table(spark, sf, "events").select("event_id", "ts")
+    as_of = events.agg(F.max("ts")).first()[0] or datetime.min.replace(year=1970)
+    store = DatedTable(spark, work_path(spark, "events"), events.schema, ["ts"])
+    for number in range(3):
+        store.write(events.filter(F.col("event_id") % 3 == number), Batch("arriving", number))
+    store.expire(as_of, PAGE_RETENTION_DAYS, Batch("expiring", 0))
+    store.compact(Batch("compacting", 0))
+    return store.read()
+
+
 def size_guard(spark, sf):
     return table(spark, sf, "documents").select(
         "doc_id", F.octet_length("text").alias("n_bytes"), fits_message(F.col("text")).alias("accepted")
@@ -262,6 +276,7 @@ QUERIES = {
     "outbox_payload": outbox_payload,
     "seed_frontier": seed_frontier,
     "retention_filter": retention_filter,
+    "retention_store": retention_store,
     "size_guard": size_guard,
     "vector_upsert": vector_upsert,
     "vector_table_init": vector_table_init,
@@ -301,6 +316,7 @@ ORACLES = {
     "retention_filter": """WITH m AS (SELECT max(ts) AS as_of FROM events)
       SELECT event_id, ts >= as_of - INTERVAL 20 DAY AS as_page, ts >= as_of - INTERVAL 14 DAY AS as_dead_letter,
         ts >= as_of - INTERVAL 7 DAY AS as_message FROM events, m WHERE ts >= as_of - INTERVAL 20 DAY""",
+    "retention_store": "SELECT event_id, ts FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 20 DAY",
     "size_guard": """SELECT doc_id, strlen(text) AS n_bytes, strlen(text) <= 10240 AS accepted FROM documents""",
     "vector_upsert": """SELECT vec_id AS id, CASE WHEN label >= 5 THEN label + 1 ELSE 5 END AS seq,
       len(embedding) AS dim, CAST(CASE WHEN label >= 5 THEN embedding[-1] ELSE embedding[1] END AS DOUBLE) AS first,

@@ -225,9 +225,14 @@ def delivery_sink(out: str) -> BatchSink:
     return sink
 
 
-def unseen_urls(urls: DataFrame) -> DataFrame:
-    """The first arrival of each URL. Like the seen set it replaces, the state has no expiry."""
-    return urls.dropDuplicates(["url"])
+def unseen_urls(urls: DataFrame, forget_after: str | None = None) -> DataFrame:
+    """The first arrival of each URL. Like the seen set it replaces, the state has no expiry unless one is asked for.
+
+    With an expiry, rows have a time `ts`, and a URL is forgotten once the newest time is so much later than its own.
+    """
+    if forget_after is None:
+        return urls.dropDuplicates(["url"])
+    return urls.withWatermark("ts", forget_after).dropDuplicatesWithinWatermark(["url"]).select("url")
 
 
 def windowed_backlog(samples: DataFrame, lateness: str) -> DataFrame:

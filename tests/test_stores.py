@@ -1,9 +1,11 @@
 import random
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from lexloom.operators import frontier as fr
 from lexloom.operators import ranking
+from lexloom.operators.dated_table import DatedTable
 from lexloom.operators.keyed_table import Batch, KeyedTable
 from lexloom.operators.ranking import crawl_schedule
 from lexloom.operators.refresh import CrawlState, full_refresh
@@ -208,3 +210,27 @@ def test_repeated_and_null_keys_and_empty_batches(spark):
     assert rows_of(table)[None] == ("later", 3) and table.read().count() == 2
     assert table.write(rows.limit(0), 2) == 3 and table.read().count() == 2
     assert table.rebuilt(work_path(spark, "keyed"), 5).read().count() == 2
+
+
+def test_old_days_are_dropped_whole_and_readers_keep_their_version(spark, monkeypatch):
+    kind = "n int, ts timestamp"
+    table = DatedTable(spark, work_path(spark, "dated"), kind, ["ts"])
+
+    def rows(*given):
+        return spark.createDataFrame([(n, at and datetime.fromisoformat(at)) for n, at in given], kind)
+
+    table.write(rows((1, "2024-01-01T10:00"), (2, "2024-01-03T09:00"), (3, "2024-01-03T11:00"), (4, None)), 0)
+    table.write(rows((5, "2024-01-03T12:00"), (6, "2024-01-09T12:00"), (6, "2024-01-09T12:00")), 1)
+    table.write(rows((9, "2024-01-09T12:00")), 1)
+    before = table.version()
+    monkeypatch.setattr(table, "_rows", None)
+    table.expire(datetime.fromisoformat("2024-01-10T10:00"), 7, Batch("expiring", 0))
+    monkeypatch.undo()
+    assert sorted(r.n for r in table.read().collect()) == [3, 4, 5, 6, 6] and "2024-01-01" not in table.entry()["folders"]
+    assert sorted(r.n for r in table.read(before).collect()) == [1, 2, 3, 4, 5, 6, 6]
+    table.compact(Batch("compacting", 0))
+    assert {len(folders) for folders in table.entry()["folders"].values()} == {1}
+    table.clean(1)
+    assert sorted(r.n for r in table.read().collect()) == [3, 4, 5, 6, 6]
+    table.expire(datetime.fromisoformat("2024-01-02T10:00"), 7, Batch("expiring", 1))
+    assert table.read().count() == 5
