@@ -150,7 +150,8 @@ def with_next(docs: DataFrame, id_column: str, text_column: str, range_bytes: in
     follow = F.broadcast(spark.createDataFrame(follows, "range int, id long, t long"))
     again = rows.drop("range").join(follow, ["id", "t"]).dropDuplicates(["range", "id", "t"]).withColumn("last", F.lit(True))
     every = rows.withColumn("last", F.lit(False)).unionByName(again)
-    return every.repartition(len(firsts), "range").sortWithinPartitions("range", "last", "id", "t")
+    # A range is a partition by its number: a hash of the numbers would put several in one.
+    return every.repartitionById(len(bounds) + 1, "range").sortWithinPartitions("range", "last", "id", "t")
 
 
 def edited_fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = SKETCH_SIZE) -> DataFrame:
