@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lexloom.params import MESSAGE_MAX_BYTES
-from lexloom.session import written, written_counted
+from lexloom.session import written
 
 # Rows of keys and numbers that every executor can hold.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 * 1024 * 1024
 
 
 def latest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -29,10 +29,13 @@ def upsert(current: DataFrame, changes: DataFrame, keys: list[str], order: list[
     return latest_per_key(current.unionByName(changes), keys, order)
 
 
-def small(rows: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Stores the rows, and asks for a broadcast if they are counted to be few; otherwise leaves the join to Spark."""
-    stored, n = written_counted(rows)
-    return F.broadcast(stored) if n <= limit else stored
+def small(rows: DataFrame, limit: int = BROADCAST_ROWS, limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Stores the rows, and asks for a broadcast if they are measured to be few and short; otherwise leaves the join to Spark."""
+    measured = Observation()
+    width = F.octet_length(F.concat_ws("", *(F.col(name).cast("string") for name in rows.columns)))
+    stored = written(rows.observe(measured, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")))
+    found = measured.get
+    return F.broadcast(stored) if found["n"] <= limit and found["bytes"] <= limit_bytes else stored
 
 
 def lookup(wanted: DataFrame, store: DataFrame, key: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
