@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexloom.llm.cuts import LINE, SENTENCE, minimal_windows, parts, replaced
 from lexloom.llm.graph import components
@@ -249,3 +250,17 @@ def test_index_recall():
     found = [b in there or a in back for a, b, there, back in zip(own, cells, index.traverse(sample), index.traverse(partners), strict=True)]
     assert np.mean(found) >= 0.93
     assert np.mean([len(there) for there in index.traverse(sample)]) < 0.5 * len(index.codes[0]) * len(index.codes[1])
+
+
+def test_vectors_with_repeats_null_ids_and_clashing_columns(spark):
+    """Repeated rows are rows of their own; rows without an id or label link with nothing; columns of any name."""
+    near = [1.0, 0.2, 0.0]
+    rows = [(1, near, 0), (1, near, 0), (2, [1.0, 0.25, 0.0], 0), (None, near, 0), (None, None, 0), (3, near, None), (4, near, 1)]
+    rows += [(5, [0.0, 0.0, 0.0], 0), (6, [1.0, None, 0.0], 0), (7, [1.0, float("nan"), 0.0], 0), (8, [], 0), (9, [1.0], 0)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    names = ["id", "label_", "dim", "digest", "vector", "cell", "visits", "copies", "n", "to", "own", "member_blocks", "component_id", "kept"]
+    frame = frame.select("*", *(F.lit("x").alias(name) for name in names))
+    found = sorted((tuple(row) for row in near_vectors(frame).collect()), key=str)
+    linked = [(1, 2, 1, True)] * 2 + [(2, 2, 1, False)]
+    alone = [(at, 0, at, True) for at in (3, 4, 5, 6, 7, 8, 9)] + [(None, 0, None, True)] * 2
+    assert found == sorted(linked + alone, key=str)
