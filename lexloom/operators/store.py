@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.params import MESSAGE_MAX_BYTES
@@ -31,11 +31,10 @@ def upsert(current: DataFrame, changes: DataFrame, keys: list[str], order: list[
 
 def small(rows: DataFrame, limit: int = BROADCAST_ROWS, limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Stores the rows, and asks for a broadcast if they are measured to be few and short; otherwise leaves the join to Spark."""
-    measured = Observation()
+    stored = written(rows)
     width = F.octet_length(F.concat_ws("", *(F.col(name).cast("string") for name in rows.columns)))
-    stored = written(rows.observe(measured, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")))
-    found = measured.get
-    return F.broadcast(stored) if found["n"] <= limit and found["bytes"] <= limit_bytes else stored
+    n, held = stored.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(stored) if n <= limit and held <= limit_bytes else stored
 
 
 def lookup(wanted: DataFrame, store: DataFrame, key: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
