@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lexloom.operators import frontier as fr
 from lexloom.operators import ranking
 from lexloom.operators.dated_table import DatedTable
-from lexloom.operators.keyed_table import Batch, KeyedTable
+from lexloom.operators.keyed_table import OPEN_FILES, Batch, KeyedTable
 from lexloom.operators.ranking import crawl_schedule
 from lexloom.operators.refresh import CrawlState, full_refresh
 from lexloom.operators.store import latest_per_key, lookup, upsert
@@ -234,3 +234,20 @@ def test_old_days_are_dropped_whole_and_readers_keep_their_version(spark, monkey
     assert sorted(r.n for r in table.read().collect()) == [3, 4, 5, 6, 6]
     table.expire(datetime.fromisoformat("2024-01-02T10:00"), 7, Batch("expiring", 1))
     assert table.read().count() == 5
+
+
+def test_a_bucket_of_many_rows_is_written_by_several_tasks(spark):
+    """And not sorted in memory; the setting that keeps files open is put back."""
+    table, kept = KeyedTable(spark, work_path(spark, "wide"), "id long, text string", ["id"], 1), spark.conf.get(OPEN_FILES)
+    rows = spark.range(0, 40_000, 1, 8).select("id", F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    advised = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(advised)
+    spark.conf.set(advised, "256k")
+    try:
+        table.write(rows, 0)
+        table.write(rows.filter("id < 10").withColumn("text", F.lit("new")), 1)
+    finally:
+        spark.conf.set(advised, before)
+    assert len(table.read(1).inputFiles()) > 1
+    assert table.read().count() == 40_000 and table.read().filter("text = 'new'").count() == 10
+    assert spark.conf.get(OPEN_FILES) == kept
