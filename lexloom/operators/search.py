@@ -2,8 +2,9 @@
 
 Queries and vectors are packed into blocks, a matrix in one row of a table each. A task scores a block of queries against a
 block of vectors as one matrix product and keeps the k best per query; what is left is merged by query. When all the
-queries are few, their blocks are sent to where the vectors lie, and no vector moves. When they are many, groups of vector
-blocks are joined with all query blocks, in one job for any number of them. Neither passes through the driver's Python.
+queries are few, their blocks are sent to where the vectors lie, and no vector moves. When they are many, the blocks of
+both are dealt to groups of bounded size, and each pair of groups is a cell: a task's work, whatever their number. All
+cells are one job. Nothing passes through the driver's Python.
 """
 
 from __future__ import annotations
@@ -27,11 +28,17 @@ BLOCK_BYTES = 64 * 1024 * 1024
 # A block is one row; a step scores at most so many pairs at once.
 ROW_BYTES, LEAST_ROWS, MOST_ROWS = 512 * 1024, 256, 4096
 PAIRS_PER_STEP = 2_000_000
-# Vector blocks that meet the queries in one group, and blocks of queries whose best hits a task holds at a time.
-BLOCKS_PER_GROUP, QUERIES_HELD = 8, 16
+# Blocks in a group, of vectors and of queries, and blocks of queries whose best hits a task holds at a time.
+VECTOR_BLOCKS, QUERY_BLOCKS, QUERIES_HELD = 32, 8, 16
+# Partitions for each cell, so that few of them get more than one by their hashes.
+PARTITIONS_PER_CELL = 3
 MERGE_SHARES = 16
+# Hits that a task merges.
+HITS_PER_TASK = 1_000_000
 HITS = pa.schema([("query_id", pa.string()), ("id", pa.string()), ("score", pa.float64())])
 BLOCK = "block long, ids array<string>, matrix binary"
+# What the numbers of a block are stored as.
+KINDS = (np.uint8, np.float32, np.float64)
 
 Matrix = Callable[[pa.RecordBatch], np.ndarray]
 
@@ -120,16 +127,29 @@ def packed(rows: DataFrame, matrix_of: Matrix, size: int) -> DataFrame:
 
 
 def as_block(number: int, ids: list[str], matrix: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array([number]), pa.array([ids], pa.list_(pa.string())), pa.array([np.ascontiguousarray(matrix).tobytes()], pa.binary())]
+    columns = [pa.array([number]), pa.array([ids], pa.list_(pa.string())), pa.array([narrow(matrix).tobytes()], pa.binary())]
     return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "matrix"])
 
 
-def matrix_of_block(raw: bytes, rows: int) -> np.ndarray:
-    return np.frombuffer(raw, np.float64).reshape(rows, -1)
+def narrow(matrix: np.ndarray) -> np.ndarray:
+    """The same numbers in the fewest bytes of these kinds that hold them all exactly."""
+    for kind in KINDS[:-1]:
+        with np.errstate(all="ignore"):
+            made = matrix.astype(kind)
+        if (made == matrix).all():
+            return np.ascontiguousarray(made)
+    return np.ascontiguousarray(matrix, np.float64)
 
 
-def scored_blocks(pairs: DataFrame, k: int) -> DataFrame:
+def matrix_of_block(raw: bytes, rows: int, dim: int) -> np.ndarray:
+    """Told by the length of the bytes which kind the numbers are of."""
+    kind = next(kind for kind in KINDS if len(raw) == rows * dim * np.dtype(kind).itemsize)
+    return np.frombuffer(raw, kind).reshape(rows, dim).astype(np.float64)
+
+
+def scored_blocks(pairs: DataFrame, dim: int, k: int) -> DataFrame:
     """The k best hits per query of each task, from rows that hold a block of queries and one of vectors."""
+    ship_package(pairs.sparkSession)
 
     def hits(asked: dict) -> Iterator[pa.RecordBatch]:
         for ids, _, _, best in asked.values():
@@ -146,11 +166,11 @@ def scored_blocks(pairs: DataFrame, k: int) -> DataFrame:
                         yield from hits(asked)
                         asked = {}
                     ids = np.array(batch.column("query_ids")[at].as_py(), dtype=str)
-                    queries = matrix_of_block(raw[at].as_py(), len(ids))
+                    queries = matrix_of_block(raw[at].as_py(), len(ids), dim)
                     asked[number] = (ids, queries, row_norms(queries), Best(len(ids), k))
                 _, queries, norms, best = asked[number]
                 ids = np.array(batch.column("ids")[at].as_py(), dtype=str)
-                matrix = matrix_of_block(batch.column("matrix")[at].as_py(), len(ids))
+                matrix = matrix_of_block(batch.column("matrix")[at].as_py(), len(ids), dim)
                 row_sizes, step = row_norms(matrix), max(1, PAIRS_PER_STEP // len(queries))
                 for start in range(0, len(ids), step):
                     part = slice(start, start + step)
@@ -160,15 +180,18 @@ def scored_blocks(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.mapInArrow(run, "query_id string, id string, score double")
 
 
-def ranked(hits: DataFrame, k: int) -> DataFrame:
+def ranked(hits: DataFrame, k: int, tasks: int | None = None) -> DataFrame:
     """The k best hits of each query, first within shares of the hits and then among what is left of those.
 
-    The hits of a query grow with the number of scanning tasks, so they are not all brought to one task.
+    The hits of a query grow with the number of scanning tasks, so they are not all brought to one task. Where there are
+    many hits, they are merged by as many tasks as are asked for.
     """
     best = [F.desc("score"), F.col("id")]
     share = F.pmod(F.xxhash64("id"), F.lit(MERGE_SHARES))
     within = Window.partitionBy("query_id", "share").orderBy(*best)
-    kept = hits.withColumn("share", share).withColumn("rank", F.row_number().over(within)).filter(F.col("rank") <= k)
+    hits = hits.withColumn("share", share)
+    hits = hits.repartition(tasks, "query_id", "share") if tasks else hits
+    kept = hits.withColumn("rank", F.row_number().over(within)).filter(F.col("rank") <= k)
     overall = Window.partitionBy("query_id").orderBy(*best)
     return kept.drop("share").withColumn("rank", F.row_number().over(overall)).filter(F.col("rank") <= k)
 
@@ -191,13 +214,23 @@ def searched(rows: DataFrame, matrix_of: Matrix, queries: DataFrame, dim: int, k
         # One group, told by the block's number so that it stays a join by key.
         sent = F.broadcast(asked.select(F.pmod("block", F.lit(1)).alias("group"), *names))
         pairs = blocks.withColumn("group", F.pmod("block", F.lit(1))).join(sent, "group")
-    else:
-        # Every group of vector blocks gets all query blocks once. The groups follow the number of vectors.
-        groups = max(1, math.ceil(rows.count() / (size * BLOCKS_PER_GROUP)))
-        every = asked.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), *names)
-        grouped = blocks.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
-        pairs = every.hint("merge").join(grouped, "group")
-    return ranked(scored_blocks(pairs, k), k)
+        return ranked(scored_blocks(pairs, dim, k), k)
+    blocks, n = written(blocks.withColumn("n", F.size("ids")), "blocks"), asked.count()
+    n_blocks = max(1, blocks.count())
+    across, down = math.ceil(n_blocks / VECTOR_BLOCKS), max(1, math.ceil(n / QUERY_BLOCKS))
+    asked, blocks = in_groups(asked, down, "query_group"), in_groups(blocks, across, "vector_group")
+    parts = PARTITIONS_PER_CELL * across * down
+    cell = (F.col("query_group") * across + F.col("vector_group")).alias("cell")
+    every = asked.withColumn("vector_group", F.explode(F.sequence(F.lit(0), F.lit(across - 1)))).select(cell, *names)
+    grouped = blocks.withColumn("query_group", F.explode(F.sequence(F.lit(0), F.lit(down - 1)))).select(cell, "ids", "matrix")
+    # The tasks follow the cells, so that what a task sorts and holds is bounded.
+    pairs = every.repartition(parts, "cell").hint("merge").join(grouped.repartition(parts, "cell"), "cell")
+    return ranked(scored_blocks(pairs, dim, k), k, max(MERGE_SHARES, math.ceil(n_queries * k * across / HITS_PER_TASK)))
+
+
+def in_groups(blocks: DataFrame, groups: int, name: str) -> DataFrame:
+    """Blocks with a group each, told by a hash: groups are of about equal size."""
+    return blocks.withColumn(name, F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, dim: int, k: int = TOP_K, block_bytes: int = BLOCK_BYTES) -> DataFrame:

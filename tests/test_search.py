@@ -51,6 +51,25 @@ def test_more_queries_than_are_sent_are_joined_with_groups_of_vectors(data, monk
         assert collected(found) == brute_force(rows, queries, 4)
 
 
+def test_a_cell_holds_a_bounded_number_of_queries_and_vectors(data, monkeypatch):
+    """More blocks on either side give more tasks, not larger ones."""
+    rows, queries, vectors, asked = data
+    monkeypatch.setattr(search, "block_rows", lambda dim: 3)
+    seen = []
+    scored = search.scored_blocks
+    monkeypatch.setattr(search, "scored_blocks", lambda pairs, *rest: seen.append(pairs) or scored(pairs, *rest))
+    assert collected(search.top_k(vectors, asked, DIM, 4, block_bytes=0)) == brute_force(rows, queries, 4)
+    cells = [len(ids) for ids in seen[0].groupBy("cell").agg(F.collect_set("query_block").alias("q")).toPandas()["q"]]
+    assert len(cells) > 4 and seen[0].rdd.getNumPartitions() >= len(cells)
+
+
+def test_blocks_are_stored_in_the_fewest_bytes_that_hold_them():
+    for values, size in (([[1.0, 255.0]], 1), ([[0.5, -3.0]], 4), ([[0.1, 1.0]], 8), ([[256.0, 1e300]], 8)):
+        matrix = np.array(values)
+        raw = search.narrow(matrix).tobytes()
+        assert len(raw) == 2 * size and (search.matrix_of_block(raw, 1, 2) == matrix).all()
+
+
 def test_fewer_rows_than_k(data):
     rows, queries, vectors, asked = data
     few = vectors.filter("id < 'v003'")
