@@ -2,7 +2,7 @@
 
 Queries and vectors are packed into blocks, a matrix in one row of a table each. A task scores a block of queries against a
 block of vectors as one matrix product and keeps the k best per query; what is left is merged by query. When all the
-queries are few, their blocks are sent to where the vectors lie, and no vector moves. When they are many, the blocks of
+queries are few enough for a task to hold, their blocks are sent to where the vectors lie, and no vector moves. When they are many, the blocks of
 both are dealt to groups of bounded size, and each pair of groups is a cell: a task's work, whatever their number. All
 cells are one job. Nothing passes through the driver's Python.
 """
@@ -28,8 +28,8 @@ BLOCK_BYTES = 64 * 1024 * 1024
 # A block is one row; a step scores at most so many pairs at once.
 ROW_BYTES, LEAST_ROWS, MOST_ROWS = 512 * 1024, 256, 4096
 PAIRS_PER_STEP = 2_000_000
-# Blocks in a group, of vectors and of queries, and blocks of queries whose best hits a task holds at a time.
-VECTOR_BLOCKS, QUERY_BLOCKS, QUERIES_HELD = 32, 8, 16
+# Blocks in a group, of vectors and of queries, and full blocks of queries whose best hits a task holds at a time.
+VECTOR_BLOCKS, QUERY_BLOCKS, QUERIES_HELD = 32, 8, 32
 # Partitions for each cell, so that few of them get more than one by their hashes.
 PARTITIONS_PER_CELL = 3
 MERGE_SHARES = 16
@@ -148,7 +148,11 @@ def matrix_of_block(raw: bytes, rows: int, dim: int) -> np.ndarray:
 
 
 def scored_blocks(pairs: DataFrame, dim: int, k: int) -> DataFrame:
-    """The k best hits per query of each task, from rows that hold a block of queries and one of vectors."""
+    """The k best hits per query of each task, from rows that hold a block of queries and one of vectors.
+
+    More queries than a task holds must come in the order of their blocks, or their hits are told again and again.
+    """
+    most = QUERIES_HELD * block_rows(dim)
     ship_package(pairs.sparkSession)
 
     def hits(asked: dict) -> Iterator[pa.RecordBatch]:
@@ -162,10 +166,10 @@ def scored_blocks(pairs: DataFrame, dim: int, k: int) -> DataFrame:
             for at in range(batch.num_rows):
                 number, raw = batch.column("query_block")[at].as_py(), batch.column("query_matrix")
                 if number not in asked:
-                    if len(asked) == QUERIES_HELD:
+                    ids = np.array(batch.column("query_ids")[at].as_py(), dtype=str)
+                    if sum(len(each[0]) for each in asked.values()) + len(ids) > most:
                         yield from hits(asked)
                         asked = {}
-                    ids = np.array(batch.column("query_ids")[at].as_py(), dtype=str)
                     queries = matrix_of_block(raw[at].as_py(), len(ids), dim)
                     asked[number] = (ids, queries, row_norms(queries), Best(len(ids), k))
                 _, queries, norms, best = asked[number]
@@ -210,7 +214,7 @@ def searched(rows: DataFrame, matrix_of: Matrix, queries: DataFrame, dim: int, k
     asked = written(asked.withColumn("n", F.size("ids")), "queries")
     names = [F.col("block").alias("query_block"), F.col("ids").alias("query_ids"), F.col("matrix").alias("query_matrix")]
     blocks, n_queries = packed(rows, matrix_of, size), asked.agg(F.sum("n")).first()[0] or 0
-    if n_queries * dim * 8 <= block_bytes:
+    if n_queries * dim * 8 <= block_bytes and n_queries <= QUERIES_HELD * size:
         # One group, told by the block's number so that it stays a join by key.
         sent = F.broadcast(asked.select(F.pmod("block", F.lit(1)).alias("group"), *names))
         pairs = blocks.withColumn("group", F.pmod("block", F.lit(1))).join(sent, "group")

@@ -63,6 +63,16 @@ def test_a_cell_holds_a_bounded_number_of_queries_and_vectors(data, monkeypatch)
     assert len(cells) > 4 and seen[0].rdd.getNumPartitions() >= len(cells)
 
 
+def test_queries_that_a_task_cannot_hold_are_not_sent(data, monkeypatch):
+    """Each would be told of its best hits again for every block of vectors."""
+    rows, queries, vectors, asked = data
+    monkeypatch.setattr(search, "block_rows", lambda dim: 9)
+    monkeypatch.setattr(search, "QUERIES_HELD", 2)
+    found = search.top_k(vectors, asked, DIM, 4)
+    assert "SortMergeJoin" in found._jdf.queryExecution().toString()
+    assert collected(found) == brute_force(rows, queries, 4)
+
+
 def test_blocks_are_stored_in_the_fewest_bytes_that_hold_them():
     for values, size in (([[1.0, 255.0]], 1), ([[0.5, -3.0]], 4), ([[0.1, 1.0]], 8), ([[256.0, 1e300]], 8)):
         matrix = np.array(values)
