@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +45,7 @@ Markers = dict[str, tuple[pa.DataType, Callable[[Page], object]]]
 
 
 def _section(page: Page) -> int:
-    return next(iter(page.having("div", "class", "section")), -1)
+    return page.first_having("div", "class", "section")
 
 
 def _in_section(page: Page, tag: str) -> str | None:
@@ -51,7 +53,7 @@ def _in_section(page: Page, tag: str) -> str | None:
     return page.text(page.first(tag, section)) if section >= 0 else None
 
 
-def _subdivisions(page: Page) -> list[dict]:
+def _subdivisions(page: Page) -> list[tuple]:
     section = _section(page)
     return [_subdivision_marks(page, div) for div in page.having("div", "class", "subd", section)] if section >= 0 else []
 
@@ -74,7 +76,8 @@ def _toc_heading(page: Page) -> int:
     return -1
 
 
-def _toc_rows(page: Page) -> list[dict]:
+def _toc_rows(page: Page) -> list[tuple]:
+    """In the order of TOC_ROW."""
     tables = [(KIND_CHAPTERS, t) for t in page.having("table", "id", "toc_table")]
     tables += [(KIND_SHORT_CHAPTERS, t) for t in page.having("table", "id", "chapters_table")]
     for div in page.having("div", "id", "chapter_analysis"):
@@ -86,38 +89,33 @@ def _toc_rows(page: Page) -> list[dict]:
                 cells = page.children(row, "td")
                 anchors = page.children(cells[0], "a") if cells else []
                 rows.append(
-                    {
-                        "table_kind": kind,
-                        "class": page.attribute(row, "class"),
-                        "n_td": len(cells),
-                        "title": page.text(cells[1]) if len(cells) > 1 else None,
-                        "href": page.attribute(anchors[0], "href") if anchors else "",
-                    }
+                    (
+                        kind,
+                        page.attribute(row, "class"),
+                        len(cells),
+                        page.text(cells[1]) if len(cells) > 1 else None,
+                        page.attribute(anchors[0], "href") if anchors else "",
+                    )
                 )
     return rows
 
 
-def _subdivision_marks(page: Page, div: int) -> dict:
-    header = next(iter(page.having("h2", "class", "subd_no", div)), -1)
+def _subdivision_marks(page: Page, div: int) -> tuple:
+    """In the order of SUBDIVISION_MARKS."""
+    header = page.first_having("h2", "class", "subd_no", div)
     notes = [n for n in page.having("span", "class", "headnote", header) if page.parent(n) == header] if header >= 0 else []
     table = page.first("table", div)
     body = page.first("tbody", table) if table >= 0 else -1
     cells = None
     if body >= 0:
         cells = [[page.text(cell) for cell in page.find("td", row)] for row in page.find("tr", body)]
-    return {
-        "header": page.text(header),
-        "headnote": page.text(notes[0]) if notes else None,
-        "paragraph": page.text(page.first("p", div)),
-        "has_table": table >= 0,
-        "cells": cells,
-    }
+    return page.text(header), page.text(notes[0]) if notes else None, page.text(page.first("p", div)), table >= 0, cells
 
 
 # What tells the kind of a page.
 KIND_MARKERS: Markers = {
     "toc_heading": (pa.string(), lambda page: page.text(_toc_heading(page))),
-    "has_chapter_title": (pa.bool_(), lambda page: bool(page.having("h2", "class", "chapter_title"))),
+    "has_chapter_title": (pa.bool_(), lambda page: page.first_having("h2", "class", "chapter_title") >= 0),
     "has_section": (pa.bool_(), lambda page: _section(page) >= 0),
 }
 # What the link rules look at.
@@ -142,6 +140,20 @@ def emitter(markers: Markers) -> tuple[Emitter, pa.Schema]:
     return lambda page: {name: function(page) for name, function in functions.items()}, schema
 
 
+def column(values: list, kind: pa.DataType) -> pa.Array:
+    """An Arrow column; lists are put together as their items, and structs, given as tuples, field by field."""
+    if pa.types.is_list(kind):
+        missing = np.array([value is None for value in values], bool)
+        ends = np.cumsum([0 if value is None else len(value) for value in values])
+        offsets = pa.array(np.r_[0, ends].astype(np.int32), mask=np.r_[missing, False]) if missing.any() else np.r_[0, ends].astype(np.int32)
+        items = list(chain.from_iterable(value for value in values if value is not None))
+        return pa.ListArray.from_arrays(offsets, column(items, kind.value_type), type=kind)
+    if pa.types.is_struct(kind) and all(type(value) is tuple for value in values):
+        fields = zip(*values, strict=True) if values else [()] * kind.num_fields
+        return pa.StructArray.from_arrays([column(list(each), field.type) for each, field in zip(fields, kind, strict=True)], fields=list(kind))
+    return pa.array(values, kind)
+
+
 def read_pages(pages: DataFrame, emit: Emitter, markers: pa.Schema, rows_per_batch: int = 256) -> DataFrame:
     """(url, html) rows to (url, markers) rows; the plug point for another extractor is (emit, markers)."""
     ship_package(pages.sparkSession)
@@ -152,7 +164,7 @@ def read_pages(pages: DataFrame, emit: Emitter, markers: pa.Schema, rows_per_bat
             for start in range(0, batch.num_rows, rows_per_batch):
                 part = batch.slice(start, rows_per_batch)
                 rows = [emit(Page(source or "")) for source in part.column("html").to_pylist()]
-                columns = [pa.array([row[field.name] for row in rows], field.type) for field in markers]
+                columns = [column([row[field.name] for row in rows], field.type) for field in markers]
                 yield pa.RecordBatch.from_arrays([part.column("url").cast(pa.string()), *columns], schema=schema)
 
     return pages.select("url", "html").mapInArrow(run, from_arrow_schema(schema))

@@ -68,3 +68,29 @@ def test_broken_markup_does_not_stop_the_reader():
 
 def test_line_ends_are_folded():
     assert texts("<p>a\r\nb\rc</p>", "p") == ["a\nb\nc"]
+
+
+def read_generally(source):
+    """The page as the reader of any markup makes it."""
+    page = Page("")
+    page._read(source)
+    return page
+
+
+def told(page):
+    return [(*node[:4], page.text(at)) for at, node in enumerate(page.nodes)], page.by_tag
+
+
+def test_plain_pages_are_read_by_their_tags_alone_to_the_same_elements():
+    bits = '<p>|</p>|<div class="x">|</div>|<table>|<tr>|<td>|</td>|</table>|<h1>|</h2>|<a href="/x?a=1">|</a>|a &amp;lt; b|<br>|<!-- c -->'
+    bits = [*bits.split("|"), "", "&copy;", "<LI>"]
+    for at in range(2000):
+        source = "<!DOCTYPE html>" + "".join(bits[at * step % len(bits)] for step in (1, 3, 5, 7, 11, 13, 17))
+        assert Page("<!DOCTYPE html>")._read_plain(source)
+        assert told(Page(source)) == told(read_generally(source))
+
+
+def test_pages_with_tags_that_cannot_be_told_alone_are_read_generally():
+    for source in ('<a title="x>y">z</a>', "a < b", "x >p< y", "<!-- <p> -->", "<script>1 < 2</script>", "<!-->a", "<title>&amp;</title>"):
+        assert not Page("")._read_plain(source)
+        assert told(Page("<!DOCTYPE html>" + source)) == told(read_generally("<!DOCTYPE html>" + source))
