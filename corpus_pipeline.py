@@ -24,6 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return accepted(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+#: Words whose ids a worker keeps in packing. Executors still hold the memory of the stages before, so these are fewer than op1's.
+KNOWN_WORDS = 200_000
 #: Documents link from this share of common shingles on; op3's own limit is that of its query.
 NEAR_PERCENT = 80
 
@@ -60,7 +62,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text is the end id alone, repeated rows are packed each for itself, and no rows give no pieces.
     """
-    return pack(docs)
+    return pack(docs, known_words=KNOWN_WORDS)
 
 
 STAGES = [

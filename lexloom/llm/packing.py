@@ -53,7 +53,8 @@ class WordTokens:
     no capitals. Ids of words and of such parts seen lately are kept; when there are too many, all are forgotten.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, known_words: int = KNOWN_WORDS):
+        self.known_words = known_words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -85,7 +86,7 @@ class WordTokens:
         return letters + self._part(plain[2].decode()) if plain[2] else letters
 
     def _learn(self, words: list[bytes]) -> None:
-        if len(self._parts) > KNOWN_WORDS:
+        if len(self._parts) > self.known_words:
             self._parts.clear()
         ids = list(map(self._word, words))
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
@@ -95,7 +96,7 @@ class WordTokens:
 
     def __call__(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """The ids of each text. Words that are new are learned together for a whole batch."""
-        if len(self._at) > KNOWN_WORDS or len(self._ids) > KNOWN_IDS:
+        if len(self._at) > self.known_words or len(self._ids) > KNOWN_IDS:
             self._forget()
         words = [(text or b"").split() for text in texts]
         numbers = [np.fromiter(map(self._at.__getitem__, each), np.int64, len(each)) for each in words]
@@ -112,20 +113,20 @@ class WordTokens:
 
 
 @lru_cache(1)
-def word_tokens(path: str) -> WordTokens:
+def word_tokens(path: str, known_words: int = KNOWN_WORDS) -> WordTokens:
     """One for all tasks of a worker."""
-    return WordTokens(path)
+    return WordTokens(path, known_words)
 
 
 class Pieces:
     """Pieces of each text in a batch: its ids and the end id, cut only where they are longer than a sequence."""
 
-    def __init__(self, tokenizer: str, length: int, end_id: int, with_ids: bool):
-        self.tokenizer, self.length, self.end_id, self.with_ids = tokenizer, length, end_id, with_ids
+    def __init__(self, tokenizer: str, length: int, end_id: int, with_ids: bool, known_words: int = KNOWN_WORDS):
+        self.tokenizer, self.length, self.end_id, self.with_ids, self.known_words = tokenizer, length, end_id, with_ids, known_words
 
     def __call__(self, batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, cuts = [], []
-        tokens = word_tokens(self.tokenizer)(batch.column("text").to_pylist())
+        tokens = word_tokens(self.tokenizer, self.known_words)(batch.column("text").to_pylist())
         for doc_id, found in zip(batch.column("doc_id").to_pylist(), tokens, strict=True):
             ids = np.append(found, np.uint32(self.end_id)).astype("<u4")
             for piece, start in enumerate(range(0, len(ids), self.length)):
@@ -149,14 +150,15 @@ def token_pieces(
     with_ids: bool = True,
     id_column: str = "doc_id",
     text_column: str = "text",
+    known_words: int = KNOWN_WORDS,
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): the pieces of every row's whole text.
 
     A null or empty text is the end id alone. Repeated rows give repeated pieces; a null id stays null. Other columns are
-    not read.
+    not read. A worker keeps the ids of about `known_words` words, for speed alone.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), as_binary(F.col(text_column)).alias("text"))
-    work = Pieces(tokenizer or default_tokenizer(), length, end_id, with_ids)
+    work = Pieces(tokenizer or default_tokenizer(), length, end_id, with_ids, known_words)
     return map_batches(rows, work, PIECE_COLUMNS + (", ids array<int>" if with_ids else ""))
 
 

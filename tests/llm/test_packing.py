@@ -99,3 +99,11 @@ def test_sequences_are_made_of_their_pieces(odd_docs):
     assert len(made) == check_places(rows)
     for row in rows:
         assert made[row.sequence_id][row.offset : row.offset + row.length] == row.ids
+
+
+def test_a_worker_keeps_no_more_words_than_asked_for():
+    texts = [" ".join(f"w{at}x{word}" for word in range(50)).encode() for at in range(40)]
+    few = WordTokens(default_tokenizer(), known_words=100)
+    for text in texts:
+        assert few([text])[0].tolist() == WORDS([text])[0].tolist()
+        assert len(few._at) <= 150 and len(few._parts) <= 250
