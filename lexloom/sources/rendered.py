@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+from itertools import chain
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.params import SITE_HOST
@@ -46,6 +49,14 @@ BROKEN_SECTIONS = {
 }
 
 
+def filled(template: str, *values: Column | str) -> Column:
+    """As format_string of %d and %s, put together by concat, which takes a fraction of the time."""
+    texts = re.split("%[ds]", template)
+    given = [F.coalesce((F.col(value) if isinstance(value, str) else value).cast("string"), F.lit("null")) for value in values]
+    pieces = [F.lit(texts[0]), *chain.from_iterable(zip(given, map(F.lit, texts[1:]), strict=True))]
+    return F.concat(*pieces)
+
+
 def subdivision_rows(spark: SparkSession, folder: str) -> DataFrame:
     """One row per (order, line); combined before the shuffle, so copies of one line number add nothing to a group."""
     return (
@@ -62,18 +73,18 @@ def section_pages(spark: SparkSession, folder: str) -> DataFrame:
     number = F.concat(line.cast("string"), F.when(part % 7 == 0, "a").otherwise(""))
     repealed = (flag == "R") & (part % 3 == 0)
     note = F.when(repealed, "[Repealed]").otherwise(
-        F.format_string('<span class="headnote"> Part %d &lt;%s&gt; goods. </span>', part, flag)
+        filled('<span class="headnote"> Part %d &lt;%s&gt; goods. </span>', part, flag)
     )
     listing = F.concat(
         F.when(part % 8 == 0, "<table><tbody>").otherwise("<table>"),
-        F.format_string(
+        filled(
             "<tr><th>Head</th></tr><tr><td>Part</td><td> $1,%d </td></tr><tr><td>Flag</td><td>%s</td></tr></table>",
             part,
             flag,
         ),
     )
     paragraph = F.concat(
-        F.format_string("<p>Line %d of order %d is flagged &quot;%s&quot;.", line, key, flag),
+        filled("<p>Line %d of order %d is flagged &quot;%s&quot;.", line, key, flag),
         F.when(part % 6 == 5, "\n").otherwise(""),
         F.when(part % 6 == 1, "").otherwise("</p>"),
         F.lit("<p>lost tail</p>"),
@@ -105,11 +116,11 @@ def section_pages(spark: SparkSession, folder: str) -> DataFrame:
     cite = section_cite()
     heading = (
         F.when(variant == 4, cite)
-        .when(variant == 5, F.format_string("%d RULES &amp; CO.", "o_orderkey"))
+        .when(variant == 5, filled("%d RULES &amp; CO.", "o_orderkey"))
         .otherwise(F.concat(cite, F.lit(" "), F.upper("o_orderpriority"), F.lit(" RULES &amp; CO.")))
     )
     body = F.coalesce(
-        "subds", F.format_string("<p>Whole text of order %d, status %s.</p>", "o_orderkey", "o_orderstatus")
+        "subds", filled("<p>Whole text of order %d, status %s.</p>", "o_orderkey", "o_orderstatus")
     )
     inner = F.concat(F.lit('<h1 class="shn">'), heading, F.lit("</h1>\n"), body)
     for value, markup in BROKEN_SECTIONS.items():
@@ -128,7 +139,7 @@ def page_partitions(spark: SparkSession, folder: str) -> int:
 
 
 def section_cite():
-    return F.format_string("%d.%d", F.col("o_orderkey") % 100, "o_orderkey")
+    return filled("%d.%d", F.col("o_orderkey") % 100, "o_orderkey")
 
 
 def section_url():
@@ -141,7 +152,7 @@ def index_pages(spark: SparkSession, folder: str) -> DataFrame:
     Page p also lists the pages 2p+5 and 2p+6, whether or not they exist.
     """
     key = F.col("o_orderkey")
-    path = F.format_string("/statutes/cite/%d.%d", key % 100, key)
+    path = filled("/statutes/cite/%d.%d", key % 100, key)
     href = (
         F.when(key % 3 == 0, F.concat(F.lit(f"//{SITE_HOST}"), path))
         .when(key % 3 == 1, path)
@@ -149,9 +160,9 @@ def index_pages(spark: SparkSession, folder: str) -> DataFrame:
     )
     row = F.when(
         F.col("o_orderstatus") == "P",
-        F.format_string("<tr><td>%d</td><td>Repealed %s</td></tr>", key, "o_orderpriority"),
+        filled("<tr><td>%d</td><td>Repealed %s</td></tr>", key, "o_orderpriority"),
     ).otherwise(
-        F.format_string(
+        filled(
             '<tr><td><a href="%s">%d</a></td><td> %s A&amp;B </td>%s</tr>',
             href,
             key,
@@ -169,10 +180,10 @@ def index_pages(spark: SparkSession, folder: str) -> DataFrame:
     )
     page = F.col("page")
     variant = page % INDEX_VARIANTS
-    sub = F.format_string('<tr class="sub"><td>Part %d</td></tr>', page)
+    sub = filled('<tr class="sub"><td>Part %d</td></tr>', page)
     further = F.concat(
         *[
-            F.format_string('<tr><td><a href="/statutes/part/%d">more</a></td><td>PART %d</td></tr>', n, n)
+            filled('<tr><td><a href="/statutes/part/%d">more</a></td><td>PART %d</td></tr>', n, n)
             for n in (2 * page + 5, 2 * page + 6)
         ]
     )
@@ -193,14 +204,14 @@ def index_pages(spark: SparkSession, folder: str) -> DataFrame:
         .when(
             page % 3 == 1,
             F.concat(
-                F.format_string('<div><h2> Table of Chapters, %d - %dA </h2><table id="chapters_table">', page, page),
+                filled('<div><h2> Table of Chapters, %d - %dA </h2><table id="chapters_table">', page, page),
                 rows,
                 F.lit("</table></div>"),
             ),
         )
         .otherwise(
             F.concat(
-                F.format_string('<h2 class="chapter_title">CHAPTER %d</h2><div id="chapter_analysis"><table>', page),
+                filled('<h2 class="chapter_title">CHAPTER %d</h2><div id="chapter_analysis"><table>', page),
                 rows,
                 F.lit("</table></div>"),
             )

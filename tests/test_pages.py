@@ -1,7 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
 from lexloom.operators import extract as ex
 from lexloom.operators.chunk import document_chunks, statute_chunks
+from lexloom.sources.rendered import filled
 
 SUBD = '<div class="subd"><h2 class="subd_no">{header}</h2>{body}</div>'
 
@@ -147,3 +149,38 @@ def test_document_lines_keep_their_numbers(spark):
 def test_null_pages_are_empty_pages(spark, job):
     (row,) = job(spark.createDataFrame([("u", None)], "url string, html string")).collect()
     assert (row.h1, row.links, row.paragraphs) == (None, [], [])
+
+
+def test_rules_are_worked_out_once_for_a_page(spark):
+    """Spark copies what a filter asks for into it: the rules stood in the filters of chunks, links and quarantine once more."""
+    pages = spark.createDataFrame([("u", section("<h1>1.2 T</h1><p>x</p>"))], "url string, html string")
+    found = ex.scrape(pages)
+    for rows in (statute_chunks(found), ex.frontier_links(found), ex.quarantine(found), found.filter("outcome = 'statute'")):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("no_subd_header") <= 1 and plan.count("bad_toc_row") <= 1
+
+
+def test_headers_and_notes_are_looked_for_in_their_own_subdivision(spark):
+    other = '<h2 class="other">Subd. 9.</h2>'
+    nested = '<h2 class="subd_no">Subd. 2.<b><span class="headnote">Not this.</span></b><span>Nor this.</span>' + note("This.") + "</h2>"
+    page = section(
+        '<h1>1.2 T</h1><div class="subd">' + other + "</div>"
+        '<div class="subd">' + other + nested + "<p>Text.</p></div><p>Outside.</p>"
+    )
+    emit, _ = ex.emitter({"subds": ex.STATUTE_MARKERS["subds"]})
+    assert emit(ex.Page(page))["subds"] == [(None, None, None, False, None), ("Subd. 2.Not this.Nor this.This.", "This.", "Text.", False, None)]
+
+
+def test_numbers_and_headings_part_at_the_first_dot(spark):
+    heads = ["Subd. 1.A.B. " + note("A.B."), "Subd. 2" + note("H."), "Subd. .H." + note("H."), "Subd. 3." + note(" ")]
+    marked = ex.checked_subdivisions(ex.statute_pages(spark.createDataFrame([(str(at), subdivision(head)) for at, head in enumerate(heads)], "url string, html string")))
+    rows = marked.selectExpr("url", "parts[0].number", "parts[0].heading", "parts[0].code").collect()
+    assert sorted(map(tuple, rows)) == [
+        ("0", "1", "A.B. A.B.", "heading_mismatch"), ("1", "2H", "", "heading_mismatch"), ("2", "", "H.H.", "heading_mismatch"), ("3", "3", "", "empty_heading")
+    ]
+
+
+def test_templates_are_filled_as_format_string_does(spark):
+    rows = spark.createDataFrame([(1, "a"), (None, None)], "n long, s string")
+    template = "<%d> & %s, %d."
+    assert rows.filter(~filled(template, F.col("n"), "s", "n").eqNullSafe(F.format_string(template, "n", "s", "n"))).isEmpty()
