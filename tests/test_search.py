@@ -139,3 +139,17 @@ def test_vector_errors(spark):
 def test_sparse_text(spark):
     frame = spark.createDataFrame([([0.0, 2.0, 0.0, 1.0],)], "v array<double>")
     assert frame.select(sparse_text(F.col("v"))).first()[0] == "1:2 3:1"
+
+
+def test_vectors_are_judged_as_whole_arrays(spark):
+    """Without a lambda, which Spark would interpret for every element."""
+    nan, inf = float("nan"), float("inf")
+    cases = [(None, "no_vector"), ([1.0], "wrong_dimension"), ([nan, 0.0], "bad_element"), ([None, 1.0], "bad_element"), ([None, nan], "bad_element"),
+             ([0.0, -0.0], "zero_vector"), ([-1.0, 0.0], None), ([0.0, 1e-300], None), ([inf, -inf], None)]
+    rows = spark.createDataFrame([(at, vector) for at, (vector, _) in enumerate(cases)], "at int, vector array<double>")
+    for kind in ("array<double>", "array<float>"):
+        found = rows.filter("at <> 7").select("at", vector_error(F.col("vector").cast(kind), 2).alias("code"))
+        assert {row.at: row.code for row in found.collect()} == {at: code for at, (_, code) in enumerate(cases) if at != 7}
+    empty = spark.createDataFrame([([],)], "vector array<double>").select(vector_error(F.col("vector"), 0))
+    assert empty.first()[0] == "zero_vector"
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
