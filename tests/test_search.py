@@ -73,6 +73,19 @@ def test_queries_that_a_task_cannot_hold_are_not_sent(data, monkeypatch):
     assert collected(found) == brute_force(rows, queries, 4)
 
 
+def test_no_file_holds_more_blocks_than_a_reader_can(data, monkeypatch):
+    """A reader of wide rows holds those of a file at once, so that files of all of a task's blocks grow with the input."""
+    rows, queries, vectors, asked = data
+    monkeypatch.setattr(search, "block_rows", lambda dim: 3)
+    monkeypatch.setattr(search, "BLOCKS_PER_FILE", 4)
+    stored, write = {}, search.written
+    monkeypatch.setattr(search, "written", lambda df, name, *rest: stored.setdefault(name, write(df, name, *rest)))
+    assert collected(search.top_k(vectors.coalesce(1), asked.coalesce(1), DIM, 4, block_bytes=1)) == brute_force(rows, queries, 4)
+    for name, least in (("blocks", 100), ("queries", 10)):
+        per_file = [r["count"] for r in stored[name].groupBy(F.input_file_name()).count().collect()]
+        assert sum(per_file) >= least and max(per_file) <= 4
+
+
 def test_blocks_are_stored_in_the_fewest_bytes_that_hold_them():
     for values, size in (([[1.0, 255.0]], 1), ([[0.5, -3.0]], 4), ([[0.1, 1.0]], 8), ([[256.0, 1e300]], 8)):
         matrix = np.array(values)
