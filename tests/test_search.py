@@ -166,3 +166,52 @@ def test_vectors_are_judged_as_whole_arrays(spark):
     empty = spark.createDataFrame([([],)], "vector array<double>").select(vector_error(F.col("vector"), 0))
     assert empty.first()[0] == "zero_vector"
     assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def counted(rng, rows, dim):
+    """Bags of words: some with large counts, some long, some the same."""
+    made = rng.poisson(0.05, size=(rows, dim)).astype(float)
+    made[::7] += rng.poisson(2.0, size=(len(made[::7]), dim))
+    made[3, :4], made[4, 5], made[rows // 2 :: 5] = 300.0, 70_000.0, made[1]
+    return made
+
+
+def test_counts_are_stored_without_their_zeros():
+    rng = np.random.default_rng(5)
+    sparse = (rng.random((40, 300)) < 0.03) * rng.integers(1, 400, size=(40, 300)).astype(float)
+    sparse[:, 7] = 1.0
+    raw = search.stored(sparse)
+    assert len(raw) < sparse.size / 5 and (search.matrix_of_block(raw, 40, 300) == sparse).all()
+    for other in (sparse * 0.5, -sparse, sparse * 1000, sparse + 1, np.eye(2, 200_000)[:, ::-1]):
+        assert (search.matrix_of_block(search.stored(other), *other.shape) == other).all()
+
+
+@pytest.mark.parametrize("rows", (4, 9, 200))
+def test_counts_are_scored_as_whole_matrices_are(rows):
+    rng = np.random.default_rng(rows)
+    for k in (1, 10):
+        vectors, queries = counted(rng, rows + 5, 128), counted(rng, 70, 128)
+        vectors[4, 5] = queries[4, 5] = 60_000.0
+        vectors, queries = vectors[vectors.any(axis=1)], queries[queries.any(axis=1)]
+        ids, whole = np.array([f"v{i * 37 % len(vectors):03d}" for i in range(len(vectors))]), search.Best(len(queries), k)
+        whole.add(ids, search.score_block(vectors, search.row_norms(vectors), queries, search.row_norms(queries)))
+        sums = search.Queries(np.arange(len(queries)).astype(str), search.pressed(np.hstack([queries, np.zeros((len(queries), 900))])), 1028, k)
+        for part in (slice(0, rows // 2), slice(rows // 2, None)):
+            block = search.Vectors(ids[part], search.pressed(np.hstack([vectors[part], np.zeros((len(vectors[part]), 900))])), 1028)
+            assert block.parts
+            sums.meet(block)
+        found = [sorted(zip(best.query.tolist(), best.ids.tolist(), best.score.tolist(), strict=True)) for best in (whole, sums.best)]
+        assert found[0] == found[1]
+
+
+def test_bags_of_words_move_in_few_blocks_and_to_few_cells(spark, monkeypatch):
+    """What is moved grows with the blocks of one side times the groups of the other; blocks were of 256 vectors of 1,024."""
+    texts = [(f"{i}", f"{i} statute {i % 41} of {i % 97} and {i % 13}") for i in range(1500)]
+    vectors = embed(spark.createDataFrame(texts, "id string, text string").coalesce(1), "id", "text", TokenHashEmbedder())
+    asked = vectors.withColumnRenamed("id", "query_id").filter("query_id % 3 = 0")
+    stored, write = {}, search.written
+    monkeypatch.setattr(search, "written", lambda df, name, *rest: stored.setdefault(name, write(df, name, *rest)))
+    sent = collected(search.top_k(vectors, asked, 1024))
+    dealt = collected(search.top_k(vectors, asked, 1024, block_bytes=0))
+    assert len(sent) == 5000 and dealt == sent
+    assert stored["blocks"].count() == 1
