@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +15,10 @@ from lexloom.params import MAX_RECEIVES, SEED_URL
 from lexloom.session import ship_package, work_path, written, written_counted
 
 
-DEPTHS = "url string, depth int, origin int"
-#: Edges that one task follows at a time.
-EDGES_PER_BLOCK = 400_000
+DEPTHS = "node long, depth int, origin int"
+#: Edges that one task follows at a time, as numbers: 20 bytes each when they come, and some 100 while they are put in order.
+EDGES_PER_BLOCK = 4_000_000
+UNKNOWN = np.iinfo(np.int32).max
 
 
 def not_among(given: DataFrame, known: DataFrame, key: str) -> DataFrame:
@@ -49,6 +50,8 @@ def seeds_or_default(spark: SparkSession, seeds: DataFrame, default: str = SEED_
 def in_blocks(edges: DataFrame, n: int, per_block: int) -> DataFrame:
     """Edges with `block`: those of one source together, or spread over several blocks where they are too many for one."""
     blocks = max(1, math.ceil(n / per_block))
+    if blocks == 1:
+        return edges.select("src", "dst", F.lit(0).alias("block"))
     hubs = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > per_block)
     hubs = hubs.select("src", F.ceil(F.col("n") / per_block).alias("parts"))
     part = F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1)))
@@ -57,52 +60,81 @@ def in_blocks(edges: DataFrame, n: int, per_block: int) -> DataFrame:
 
 
 def walked(starts: pa.Table, edges: pa.Table) -> pa.Table:
-    """Least depths of all that the edges of one block reach from starts (block, url, depth)."""
+    """Least depths of all that the edges of one block reach from starts (block, node, depth), a level at a time."""
     block = starts.column("block")[0].as_py()
-    ways, pending, least = defaultdict(list), defaultdict(list), {}
-    for src, dst in zip(edges.column("src").to_pylist(), edges.column("dst").to_pylist(), strict=True):
-        ways[src].append(dst)
-    for url, depth in zip(starts.column("url").to_pylist(), starts.column("depth").to_pylist(), strict=True):
-        pending[depth].append(url)
-    while pending:
-        depth = min(pending)
-        for url in pending.pop(depth):
-            if least.get(url, depth + 1) > depth:
-                least[url] = depth
-                pending[depth + 1] += [dst for dst in ways.get(url, ()) if least.get(dst, depth + 2) > depth + 1]
-        if not pending.get(depth + 1, True):
-            del pending[depth + 1]
-    columns = [pa.array(least.keys(), pa.string()), pa.array(least.values(), pa.int32()), pa.array([block] * len(least), pa.int32())]
-    return pa.Table.from_arrays(columns, names=["url", "depth", "origin"])
+    given = [edges.column("src").to_numpy(), edges.column("dst").to_numpy(), starts.column("node").to_numpy()]
+    names, places = np.unique(np.concatenate(given), return_inverse=True)
+    places = places.astype(np.int32)
+    src, dst, begins = np.split(places, np.cumsum([len(each) for each in given])[:-1])
+    order = np.argsort(src, kind="stable")
+    ways, first = dst[order], np.searchsorted(src[order], np.arange(len(names) + 1))
+    depths = starts.column("depth").to_numpy()
+    order = np.argsort(depths, kind="stable")
+    begins, depths = begins[order], depths[order]
+    least, told_by = np.full(len(names), UNKNOWN, np.int32), np.zeros(len(names), np.int32)
+    level, depth, at = begins[:0], 0, 0
+    while len(level) or at < len(begins):
+        if not len(level):
+            depth = int(depths[at])
+        if at < len(begins) and depths[at] == depth:
+            end = int(np.searchsorted(depths, depth, "right"))
+            new = np.unique(begins[at:end])
+            new, at = new[least[new] > depth], end
+            least[new] = depth
+            level = np.concatenate([level, new])
+        n = first[level + 1] - first[level]
+        ends = np.cumsum(n)
+        found = ways[np.arange(n.sum()) + np.repeat(first[level] - ends + n, n)]
+        found = found[least[found] > depth + 1]
+        depth += 1
+        least[found] = depth
+        # Each once: the one that was the last to say so.
+        each = np.arange(len(found), dtype=np.int32)
+        told_by[found] = each
+        level = found[told_by[found] == each]
+    reached = np.flatnonzero(least < UNKNOWN)
+    columns = [pa.array(names[reached]), pa.array(least[reached]), pa.array(np.full(len(reached), block, np.int32))]
+    return pa.Table.from_arrays(columns, names=["node", "depth", "origin"])
 
 
 def crawl_closure(edges: DataFrame, seeds: DataFrame, per_block: int = EDGES_PER_BLOCK) -> DataFrame:
     """(url, depth) of everything reachable from the seeds over (src, dst) edges, with the fewest edges to it.
 
-    Edges lie in blocks of a bounded number. In a round each block that has news follows its own edges as far as they lead,
-    and what came out nearer than known is news for the other blocks in which it has edges. Depths only fall, so that when
-    there is no more news they are the least ones. A deep graph takes as many rounds as its shortest ways change blocks, and
-    a small one a single round. Rounds are stored, so a lost executor costs a rereading.
+    URLs get numbers, and edges of numbers lie in blocks of a bounded number. In a round each block that has news follows its
+    own edges as far as they lead, and what came out nearer than known is news for the other blocks in which it has edges.
+    Depths only fall, so that when there is no more news they are the least ones. A deep graph takes as many rounds as its
+    shortest ways change blocks, and one of a single block a single round. Rounds are stored, so a lost executor costs a
+    rereading.
     """
     spark = edges.sparkSession
     ship_package(spark)
     edges, n = written_counted(edges.select("src", "dst").filter("src is not null and dst is not null").distinct(), "edges")
+    seeds = seeds.select("url").distinct()
+    every = edges.select(F.col("src").alias("url")).union(edges.select("dst")).union(seeds).distinct()
+    names = written(every.withColumn("node", F.monotonically_increasing_id()), "names")
+    for end in ("src", "dst"):
+        numbered = names.select(F.col("url").alias(end), F.col("node").alias(f"{end}_node"))
+        edges = edges.join(numbered, end)
+    edges = edges.select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst"))
+    if n > per_block:
+        edges = written(edges, "numbered")
     edges = written(in_blocks(edges, n, per_block), "blocks")
-    sources = written(edges.select(F.col("src").alias("url"), "block").distinct(), "sources")
+    sources = written(edges.select(F.col("src").alias("node"), "block").distinct(), "sources")
     folder, number = work_path(spark, "depths"), 0
-    news = seeds.select("url").distinct().select("url", F.lit(0).alias("depth"), F.lit(-1).alias("origin"))
-    n = _store_round(news, folder, number)
+    begins = names.join(seeds.withColumnRenamed("url", "seed"), F.col("url").eqNullSafe(F.col("seed")), "left_semi")
+    n = _store_round(begins.select("node", F.lit(0).alias("depth"), F.lit(-1).alias("origin")), folder, number)
     while n:
         news = spark.read.schema(DEPTHS).parquet(f"{folder}/round={number}")
-        starts = news.join(sources, "url").filter("block <> origin").select("block", "url", "depth")
+        starts = news.join(sources, "node").filter("block <> origin").select("block", "node", "depth")
         here = edges.join(starts.select("block").distinct(), "block", "left_semi")
         found = starts.groupBy("block").cogroup(here.groupBy("block")).applyInArrow(walked, DEPTHS)
-        found = found.groupBy("url").agg(F.min(F.struct("depth", "origin")).alias("to"))
-        known = spark.read.schema(DEPTHS).parquet(folder).groupBy("url").agg(F.min("depth").alias("known"))
-        nearer = found.join(known, "url", "left").filter("known is null or known > to.depth").select("url", "to.depth", "to.origin")
+        found = found.groupBy("node").agg(F.min(F.struct("depth", "origin")).alias("to"))
+        known = spark.read.schema(DEPTHS).parquet(folder).groupBy("node").agg(F.min("depth").alias("known"))
+        nearer = found.join(known, "node", "left").filter("known is null or known > to.depth").select("node", "to.depth", "to.origin")
         number += 1
         n = _store_round(nearer, folder, number)
-    return spark.read.schema(DEPTHS).parquet(folder).groupBy("url").agg(F.min("depth").alias("depth"))
+    least = spark.read.schema(DEPTHS).parquet(folder).groupBy("node").agg(F.min("depth").alias("depth"))
+    return names.join(least, "node").select("url", "depth")
 
 
 def _store_round(found: DataFrame, folder: str, number: int) -> int:

@@ -61,6 +61,25 @@ def test_closure_with_cycles_and_a_hub(spark):
     assert blocks.agg(F.max("count")).first()[0] <= 14 and fr.crawl_closure(frame.limit(0), seeds).collect() == [("1", 0)]
 
 
+def test_closure_of_a_deep_graph_of_half_a_million_edges_takes_few_rounds(spark, monkeypatch):
+    """It took two blocks, and one round for each time that a shortest way changed between them."""
+    n, rounds, store = 225_001, [], fr._store_round
+
+    def stored(found, folder, number):
+        assert number < 4
+        rounds.append(number)
+        return store(found, folder, number)
+
+    monkeypatch.setattr(fr, "_store_round", stored)
+    name = F.concat(F.lit("https://www.revisor.mn.gov/"), F.col("id").cast("string"))
+    ways = spark.range(n).select(name.alias("src"), F.explode(F.array(F.col("id") + 1, F.col("id") + 40)).alias("id"))
+    found = fr.crawl_closure(ways.select("src", name.alias("dst")), spark.range(1).select(name.alias("url")))
+    at = F.element_at(F.split("url", "/"), -1).cast("long")
+    wrong = found.filter(F.col("depth") != F.floor(at / 40) + at % 40)
+    assert found.agg(F.count("url"), F.countDistinct("url")).first() == (n + 40, n + 40) and wrong.isEmpty()
+    assert len(rounds) == 3
+
+
 def test_schedule_over_several_ranges(spark):
     urls = [f"u{random.Random(i).random():.6f}" for i in range(500)]
     frame = spark.createDataFrame([(u, i) for i, u in enumerate(urls)], "url string, page_id int").repartition(6)
