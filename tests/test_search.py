@@ -215,3 +215,15 @@ def test_bags_of_words_move_in_few_blocks_and_to_few_cells(spark, monkeypatch):
     dealt = collected(search.top_k(vectors, asked, 1024, block_bytes=0))
     assert len(sent) == 5000 and dealt == sent
     assert stored["blocks"].count() == 1
+
+
+def test_a_task_is_told_of_the_queries_once(data, monkeypatch):
+    """They came with every block of vectors, so that most of what a task read was queries."""
+    rows, queries, vectors, asked = data
+    monkeypatch.setattr(search, "block_rows", lambda dim: 9)
+    seen, scored = [], search.scored_blocks
+    monkeypatch.setattr(search, "scored_blocks", lambda pairs, *rest: seen.append(pairs) or scored(pairs, *rest))
+    assert collected(search.top_k(vectors, asked, DIM, 4)) == brute_force(rows, queries, 4)
+    told = seen[0].select((F.col("block") % search.FIRST).alias("at"), "query_block").collect()
+    assert {row.at == 0 for row in told if row.query_block is not None} == {True}
+    assert len([row for row in told if row.query_block is None]) >= 30
